@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from lattica.llm.html_text import op2_html_text
+from lattica.llm.line_dedup import OP1_SQL, op1_line_dedup
+from lattica.llm.mixing import OP3_SQL, op3_source_mixing
 from lattica.llm.packing import op9_best_fit_packing
 from lattica.llm.token_files import op7_token_files
 from lattica.llm.topk import OP5_SQL, op5_exact_topk
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_html_text": op2_html_text,
+    "op3_source_mixing": op3_source_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op7_token_files": op7_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL,
+    "op3_source_mixing": OP3_SQL,
     "op5_exact_topk": OP5_SQL,
 }
