@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.html_text import op2_html_text
+from lattica.llm.jaccard import OP8_SQL, op8_jaccard_join
 from lattica.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lattica.llm.mixing import OP3_SQL, op3_source_mixing
 from lattica.llm.packing import op9_best_fit_packing
@@ -15,10 +16,12 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op7_token_files": op7_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op3_source_mixing": OP3_SQL,
     "op5_exact_topk": OP5_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
