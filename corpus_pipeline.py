@@ -1,12 +1,61 @@
-"""Corpus pipeline: filled in as its stages are built."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing over documents.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that
+is written and read again as the next one's docs.  All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, table
+from lattica.llm.jaccard import jaccard_components
+from lattica.llm.langid import document_model, identify_documents
+from lattica.llm.line_dedup import dedup_lines
+from lattica.llm.mixing import mixed
+from lattica.llm.packing import pack_best_fit
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; lang becomes the language found."""
+    found = identify_documents(docs, *document_model(spark, docs)).filter("accepted")
+    return found.select(*(F.col("language").alias("lang") if c == "lang" else c for c in docs.columns))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their new lines only; those that had lines and have none left go."""
+    d = dedup_lines(docs).filter("n_lines = 0 OR n_kept > 0")
+    new = {"text": F.col("line_text"), "n_chars": F.char_length("line_text").cast(dict(docs.dtypes).get("n_chars", "int"))}
+    return d.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near copies; one row of it."""
+    ids = cut(jaccard_components(docs).filter("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct(), "pipeline-kept")
+    first = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    return first.dropDuplicates(["doc_id", "text"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights take them."""
+    m = mixed(docs).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return m.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_best_fit(docs)
+
+
+STAGES = [
+    ("language id", keep_known_languages),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
