@@ -6,7 +6,7 @@ is written and read again as the next one's docs.  All but the last return the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, table
@@ -31,10 +31,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies; one row of it."""
-    ids = cut(jaccard_components(docs).filter("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct(), "pipeline-kept")
-    first = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"])
+    """The document of the smallest doc_id of each group of near copies, and one row of it.
+
+    Rows without a doc_id can't be named as copies and stay.
+    """
+    ids = cut(jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-kept")
+    first = docs.join(ids, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return first.filter("_row = 1").drop("_row").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
