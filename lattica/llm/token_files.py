@@ -29,7 +29,7 @@ RANK_BITS = 512
 #: A file is closed once it has this many ids.
 FILE_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 2_000_000
 FILES = "part int, seq int, n_docs long, n_ids long, file binary"
 
 
@@ -127,8 +127,8 @@ class PieceEncoder:
     def _learn(self, pieces: set[str]) -> None:
         spaced = [x for x in pieces if _SPACED(x)]
         other = list(pieces.difference(spaced))
-        for i in range(0, len(spaced), 256):
-            e, some = self.tokenizer.encode("".join(spaced[i : i + 256]), add_special_tokens=False), spaced[i : i + 256]
+        for i in range(0, len(spaced), 1024):
+            e, some = self.tokenizer.encode("".join(spaced[i : i + 1024]), add_special_tokens=False), spaced[i : i + 1024]
             words, ids = np.array(e.word_ids), np.array(e.ids, "<u4")
             cuts = np.flatnonzero(np.diff(words)) + 1
             if len(cuts) + 1 == len(some):
@@ -142,8 +142,8 @@ class PieceEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        split = [(_NEAR if _NEAR_TEXT(x) else self.any).findall(x) for x in texts]
-        new = {y for x in split for y in x} - self.known.keys()
+        split = [(_NEAR if x.isascii() or _NEAR_TEXT(x) else self.any).findall(x) for x in texts]
+        new = set().union(*split).difference(self.known)
         if new:
             self._learn(new)
         get = self.known.__getitem__
