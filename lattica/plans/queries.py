@@ -328,9 +328,9 @@ def joined(path):
     return F.array_join(F.transform(path, lambda x: x.cast("string")), ">")
 
 
-@query("g8_all_paths", PATHS + "SELECT graph_id, path, round(low, 6) AS bottleneck, round(prod, 6) AS product FROM ap")
+@query("g8_all_paths", PATHS + "SELECT graph_id, path, round(low, 6) AS bottleneck, round(prod, 10) AS product FROM ap")
 def g8_all_paths(s, d):
-    return ends(s, d).select("graph_id", joined("path").alias("path"), F.round("bottleneck", 6).alias("bottleneck"), F.round("product", 6).alias("product"))
+    return ends(s, d).select("graph_id", joined("path").alias("path"), F.round("bottleneck", 6).alias("bottleneck"), F.round("product", 10).alias("product"))
 
 
 @query("g9_strongest_path", PATHS + "SELECT graph_id, path, round(low, 6) AS bottleneck FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY low DESC, ok) AS r FROM ap) WHERE r = 1")
@@ -338,17 +338,17 @@ def g9_strongest_path(s, d):
     return graph.strongest_path(ends(s, d)).select("graph_id", joined("path").alias("path"), F.round("bottleneck", 6).alias("bottleneck"))
 
 
-@query("g10_strongest_product_path", PATHS + "SELECT graph_id, path, round(prod, 4) AS product FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY round(prod, 9) DESC, ok) AS r FROM ap) WHERE r = 1")
+@query("g10_strongest_product_path", PATHS + "SELECT graph_id, path, round(prod, 10) AS product FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY round(prod, 10) DESC, ok) AS r FROM ap) WHERE r = 1")
 def g10_strongest_product_path(s, d):
-    p = ends(s, d).withColumn("product", F.round("product", 9))
-    return graph.strongest_path(p, "product").select("graph_id", joined("path").alias("path"), F.round("product", 4).alias("product"))
+    p = ends(s, d).withColumn("product", F.round("product", 10))
+    return graph.strongest_path(p, "product").select("graph_id", joined("path").alias("path"), F.round("product", 10).alias("product"))
 
 
 @query("g11_path_weights", """, h AS (SELECT graph_id, src, tgt, arg_min(weight, seq) AS w FROM small GROUP BY ALL), st AS (SELECT o_orderkey AS graph_id, a.i AS src, a.i + 1 AS tgt FROM orders, range(0, 4) AS a(i))
-SELECT st.graph_id AS path_id, round(coalesce(min(w), 0), 6) AS bottleneck, round(coalesce(product(w), 1), 6) AS product FROM st LEFT JOIN h ON h.graph_id = st.graph_id AND h.src = st.src AND h.tgt = st.tgt GROUP BY st.graph_id""")
+SELECT st.graph_id AS path_id, round(coalesce(min(w), 0), 6) AS bottleneck, round(coalesce(product(w), 1), 10) AS product FROM st LEFT JOIN h ON h.graph_id = st.graph_id AND h.src = st.src AND h.tgt = st.tgt GROUP BY st.graph_id""")
 def g11_path_weights(s, d):
     p = table(s, d, "orders").select(c("o_orderkey").cast("long").alias("graph_id"), c("o_orderkey").alias("path_id"), F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>").alias("path"))
-    return graph.path_weights(small_edges(s, d), p).select("path_id", F.round("bottleneck", 6).alias("bottleneck"), F.round("product", 6).alias("product"))
+    return graph.path_weights(small_edges(s, d), p).select("path_id", F.round("bottleneck", 6).alias("bottleneck"), F.round("product", 10).alias("product"))
 
 
 @query("g12_effective_properties", CLOSURE.format(where="rel_type = 'IsA'") + """SELECT DISTINCT cl.graph_id, cl.start, 'X' || p.tgt AS property FROM cl JOIN small p ON p.graph_id = cl.graph_id AND p.src = cl.node AND p.rel_type = 'HasProperty'
