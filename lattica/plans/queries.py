@@ -535,11 +535,11 @@ SHARES = (("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1))
 @query("l7_quota_sample", """WITH sh(category, share) AS (VALUES """ + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in SHARES) + """),
 h AS (SELECT category, share, doc_id AS key, ((doc_id % 2147483648) * 2654435761 + 9 * 40503) % 4294967296 AS h FROM documents JOIN sh ON lang = category),
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY h, key) AS r FROM h),
-o AS (SELECT *, CASE WHEN r > greatest(1, CAST(floor(share * 300) AS INT)) THEN 1 ELSE 0 END AS over FROM r)
-SELECT category, key, CAST(row_number() OVER (ORDER BY over, h, category, key) AS INTEGER) AS nth FROM o ORDER BY nth LIMIT 300""", views=False)
+o AS (SELECT *, CASE WHEN r > greatest(1, CAST(floor(share * 100) AS INT)) THEN 1 ELSE 0 END AS over FROM r)
+SELECT category, key, CAST(row_number() OVER (ORDER BY over, h, category, key) AS INTEGER) AS nth FROM o ORDER BY nth LIMIT 100""", views=False)
 def l7_quota_sample(s, d):
     pool = table(s, d, "documents").select(c("lang").alias("category"), c("doc_id").alias("key"))
-    return records.quota_sample(pool, s.createDataFrame(list(SHARES), "category string, share double"), 300, 9)
+    return records.quota_sample(pool, s.createDataFrame(list(SHARES), "category string, share double"), 100, 9)
 
 
 @query("l9_train_test_split", "SELECT doc_id, CASE WHEN ((doc_id % 2147483648) * 2654435761 + 42 * 40503) % 4294967296 < 429496729 THEN 'test' ELSE 'train' END AS part FROM documents", views=False)
