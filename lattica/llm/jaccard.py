@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = signed.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInPandas(_count_shared, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
     active = classes.join(shared, "cid", "left").filter("m - coalesce(shared, 0) <= n div 4").select("cid", "n", "rep")
     active = cut(active, "jaccard-active")
-    texts = docs.select("doc_id", "text").join(active.select("cid", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    texts = docs.select("doc_id", "text").join(active.select("cid", "rep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
     full = max(8, -(-(active.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
     dealt = texts.mapInPandas(_all_shingles(full), "bucket int, blob binary")
     pieces = cut(dealt.groupBy("bucket").applyInPandas(_shared_shingles, "cid long, shared long, blob binary"), "jaccard-shared")
