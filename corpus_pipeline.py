@@ -42,7 +42,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights take them."""
-    m = mixed(docs).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    m = mixed(docs).withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     return m.select(*docs.columns)
 
 

@@ -29,6 +29,20 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, *own: str) -> DataFrame:
+    """The columns own, and all others in one struct _row, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*own, F.struct(*rest or [F.lit(0).alias("none")]).alias("_row"))
+
+
+def uncarried(df: DataFrame, columns: list[str], own: tuple[str, ...], added: dict) -> DataFrame:
+    """The columns of the input, own ones from df and others from _row, and those added; an added column takes
+    the place of an input column of its name, whatever the case."""
+    new = {c.lower() for c in added}
+    kept = [F.col(f"`{c}`") if c in own else F.col("_row").getField(c).alias(c) for c in columns if c.lower() not in new]
+    return df.select(*kept, *(e.alias(c) for c, e in added.items()))
+
+
 def parts_for(df: DataFrame, column: str, mb: float, least: int = 1) -> int:
     """How many groups of about mb megabytes the text of column makes, over all rows."""
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -141,7 +141,8 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     Lines are the blocks that the parser's events mark off.  A line's ratio is its characters outside
     links over its tags.  Ratios are smoothed along the page; a region (an article or main element, or
     a top-level block of the body) is content when it is an article or main element, or, on pages
-    without one, when its highest smoothed ratio reaches share x the page's standard deviation.
+    without one, when its highest smoothed ratio reaches share x the page's standard deviation
+    and less than half of its text is in links.
     All lines of content regions are kept.
     """
     if not html:
@@ -160,7 +161,8 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
         keep = mains
     else:
         least = share * ratio.std()
-        keep = {r for r in set(regions.tolist()) if (top := ratio[regions == r].max()) > 0 and top >= least}
+        size, linked = (np.bincount(regions, [f(x) for x in lines]) for f in (lambda x: len(x[1]), lambda x: x[3]))
+        keep = {r for r in set(regions.tolist()) if (top := ratio[regions == r].max()) > 0 and top >= least and 2 * linked[r] < size[r]}
     return "\n".join(x[1] for x in lines if x[0] in keep)
 
 

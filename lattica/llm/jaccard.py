@@ -247,8 +247,8 @@ def _search_cell(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 def _cells(a: DataFrame, b: DataFrame) -> DataFrame:
     """Links between rows of a and b (cell columns cluster, i, j; cid, n, blobs) of the same cell."""
     keys = ["cluster", "i", "j"]
-    x, y = (f.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "blobs"))) for p, f in (("a", a), ("b", b)))
-    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(_search_cell, "a long, b long")
+    x, y = (f.select(*(F.col(c).alias(f"{p}_{c}") for c in (*keys, "cid", "n", "blobs"))) for p, f in (("a", a), ("b", b)))
+    return x.groupBy(*(f"a_{k}" for k in keys)).cogroup(y.groupBy(*(f"b_{k}" for k in keys))).applyInPandas(_search_cell, "a long, b long")
 
 
 def _search_large(large: DataFrame, done: DataFrame) -> DataFrame:

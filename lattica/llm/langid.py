@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, table
+from lattica.llm.common import cut, table, uncarried
 
 #: The classifier is fitted on at most so many labelled texts of each language, first by a seeded hash, and
 #: on so many languages, the most frequent; rows to identify have no such bounds.
@@ -122,14 +122,18 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str
     declared, host, domain and suffix may be null: no evidence.  language is null, probability 0 and the row not
     accepted where the text has no characters but space; other evidence alone is not enough.  Otherwise
     accepted means: probability at least LEAST_PROBABILITY and mean ln likelihood of the text's
-    trigrams at least LEAST_FIT.  Ties go to the language more frequent in the labelled texts.  Columns of rows stay as they are.
+    trigrams at least LEAST_FIT.  Ties go to the language more frequent in the labelled texts.  Columns of rows stay as they are, but for those of
+    the added names, which are replaced.
     """
     n = len(languages)
+    found = {"_lid_" + k: c for k, c in (("declared", F.lower(declared)), ("host", F.lower(host)), ("domain", F.lower(domain)), ("suffix", F.lower(suffix)))}
+    columns, marks = rows.columns, list(found)
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col(text).alias("_lid_input"), *(c.alias(k) for k, c in found.items()))
     if not n:
-        return rows.withColumns({"language": F.lit(None).cast("string"), "probability": F.lit(0.0), "text_language": F.lit(None).cast("string"), "accepted": F.lit(False)})
+        none = F.lit(None).cast("string")
+        return uncarried(rows, columns, (), {"language": none, "probability": F.lit(0.0), "text_language": none, "accepted": F.lit(False)})
     names = F.array(*(F.lit(x) for x in languages))
-    marks = {"_lid_declared": F.lower(declared), "_lid_host": F.lower(host), "_lid_domain": F.lower(domain), "_lid_suffix": F.lower(suffix)}
-    seen = rows.withColumn("_lid_text", text_evidence(rows.sparkSession, model, markup)(F.col(text))).withColumns(marks)
+    seen = rows.withColumn("_lid_text", text_evidence(rows.sparkSession, model, markup)(F.col("_lid_input"))).drop("_lid_input")
     seen = cut(seen, "langid-evidence")
     size = F.element_at("_lid_text", 1)
     means = F.slice("_lid_text", 2, n)
@@ -159,13 +163,13 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str
     top = F.array_max("_lid_score")
     probability = 1 / F.aggregate("_lid_score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     spoke = size > 0
-    return out.select(
-        *rows.columns,
-        F.when(spoke, F.element_at(names, best)).alias("language"),
-        F.when(spoke, probability).otherwise(0.0).alias("probability"),
-        F.when(spoke, F.element_at(names, _argmax(means))).alias("text_language"),
-        (spoke & (probability >= LEAST_PROBABILITY) & (F.element_at(means, best) >= LEAST_FIT)).alias("accepted"),
-    )
+    added = {
+        "language": F.when(spoke, F.element_at(names, best)),
+        "probability": F.when(spoke, probability).otherwise(0.0),
+        "text_language": F.when(spoke, F.element_at(names, _argmax(means))),
+        "accepted": spoke & (probability >= LEAST_PROBABILITY) & (F.element_at(means, best) >= LEAST_FIT),
+    }
+    return uncarried(out, columns, (), added)
 
 
 def document_model(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, table
+from lattica.llm.common import carried, cut, table, uncarried
 from lattica.llm.packing import estimated_tokens
 
 LEVELS = ("domain", "language", "source")
@@ -115,14 +115,17 @@ def mixed(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int
     exchange, and only one of a leaf's 4096 buckets is ever ordered.
     """
     domain = domain_of(F.col("source")) if domain is None else domain
-    tree = docs.withColumns({"mix_domain": named(domain), "mix_language": named(F.col("lang")), "mix_source": named(F.col("source")), "mix_tokens": estimated_tokens(F.col("text"))})
+    own = ("doc_id", "text", "lang", "source")
+    tree = carried(docs.withColumn("lattica mix domain", named(domain)), *own)
+    tree = tree.select(*own, "_row", F.col("_row").getField("lattica mix domain").alias("mix_domain"), named(F.col("lang")).alias("mix_language"), named(F.col("source")).alias("mix_source"), estimated_tokens(F.col("text")).alias("mix_tokens"))
     slim = cut(tree.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_language").alias("language"), F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens")), "mix-slim")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n"))
     leaves = leaves.withColumns({"w_domain": weights_column(F.col("domain"), domain_weights or {}), "w_language": weights_column(F.col("language"), LANGUAGE_WEIGHTS if language_weights is None else language_weights), "w_source": weights_column(F.col("source"), source_weights or {})})
     cuts = leaf_cuts(slim, leaf_budgets(leaves, budget_percent, max_epochs), seed).select(*(F.col(x).alias(f"mix_{x}") for x in LEVELS), F.col("epochs").alias("mix_epochs"), F.col("last_key").alias("mix_last_key"))
     taken = tree.join(cuts, [f"mix_{x}" for x in LEVELS])
     copies = F.col("mix_epochs") + F.when(order_key(seed, F.col("mix_epochs"), F.col("doc_id")) <= F.col("mix_last_key"), 1).otherwise(0)
-    return taken.withColumn("mix_copies", copies.cast("long")).filter("mix_copies > 0").select(*docs.columns, *(f"mix_{x}" for x in LEVELS), "mix_tokens", "mix_copies")
+    taken = taken.withColumn("mix_copies", copies.cast("long")).filter("mix_copies > 0")
+    return uncarried(taken, docs.columns, own, {c: F.col(c) for c in (*(f"mix_{x}" for x in LEVELS), "mix_tokens", "mix_copies")})
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
