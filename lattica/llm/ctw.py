@@ -26,7 +26,7 @@ from lattica.llm.common import cut, mix64, parts_for, table
 from lattica.llm.shingles import word_hashes
 
 DEPTH = 5
-BLOCK_MB, CHUNK = 24, 1 << 22
+BLOCK_MB, CHUNK = 24, 1 << 21
 END = 0xFF
 WORDS, GRAMS = 0, 1
 LN_HALF = math.log(0.5)
@@ -147,12 +147,12 @@ def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.nda
 
 
 def _blob(keys: np.ndarray, values: np.ndarray) -> bytes:
-    """Sorted keys as differences, then values (8 bytes each)."""
+    """Sorted keys as differences, then values."""
     return np.diff(keys, prepend=np.uint64(0)).astype("<u8").tobytes() + values.tobytes()
 
 
 def _unblob(b: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    n = len(b) // 16
+    n = len(b) // (8 + np.dtype(kind).itemsize)
     return np.cumsum(np.frombuffer(b, "<u8", n), dtype=np.uint64), np.frombuffer(b, kind, n, 8 * n)
 
 
@@ -269,7 +269,7 @@ def _code_lengths(top, buckets: int) -> Callable[[tuple, pd.DataFrame], pd.DataF
         grams, levels, at = _subtree(d)
         place = np.searchsorted(keys, levels[-1].keys)
         levels[-1].mixed, levels[-1].rest = mixed[place], rest[place]
-        return pd.DataFrame(_split(grams, code_lengths(grams, levels, at).astype("<f8"), _bucket(grams, buckets)), columns=["bucket", "blob"])
+        return pd.DataFrame(_split(grams, code_lengths(grams, levels, at).astype("<f4"), _bucket(grams, buckets)), columns=["bucket", "blob"])
 
     return run
 
@@ -277,7 +277,7 @@ def _code_lengths(top, buckets: int) -> Callable[[tuple, pd.DataFrame], pd.DataF
 def _route(key: tuple, own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     if own.empty:
         return pd.DataFrame({"block": np.zeros(0, np.int64), "kind": np.zeros(0, np.int64), "blob": []})
-    parts = [_unblob(b, "<f8") for b in model["lengths"]]
+    parts = [_unblob(b, "<f4") for b in model["lengths"]]
     keys, bits = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     order = np.argsort(keys)
     keys, bits = keys[order], bits[order]
@@ -305,7 +305,7 @@ def _score(tokens: int, distinct: int, train_docs: int) -> Callable[[tuple, pd.D
     def run(key: tuple, d: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if d.empty:
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        (words, word_n), (grams, bits) = lookup(model, WORDS, "<i8"), lookup(model, GRAMS, "<f8")
+        (words, word_n), (grams, bits) = lookup(model, WORDS, "<i8"), lookup(model, GRAMS, "<f4")
         logs = np.log10((word_n + 1.0) / whole)
         n_tokens, n_known, base, score = (np.zeros(len(d)) for _ in range(4))
         for at, texts, _ in _chunks(d):
@@ -317,7 +317,7 @@ def _score(tokens: int, distinct: int, train_docs: int) -> Callable[[tuple, pd.D
             base[at] = _sums(logs[place], starts, n) + math.log10((train_docs + 1) / whole)
             g, starts = grams_of(texts)
             seen, place = np.unique(g, return_inverse=True)
-            score[at] = np.add.reduceat(bits[np.searchsorted(grams, seen)][place], starts) * -math.log10(2)
+            score[at] = np.add.reduceat(bits[np.searchsorted(grams, seen)][place], starts, dtype=np.float64) * -math.log10(2)
         return pd.DataFrame({"doc_id": d["doc_id"], "held_out": d["held_out"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": score})
 
     return run
