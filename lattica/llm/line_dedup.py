@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, table
+from lattica.llm.common import carried, cut, table, uncarried
 
 #: Lines within this edit distance of an earlier line are dropped, if they have MIN_CHARS characters.
 MAX_EDITS, MIN_CHARS = 2, 24
 #: Characters that the length-and-count filter counts.
-COUNTED = "entiorsa"
-#: Place of a line: document, then line number; documents without an id come last.
+COUNTED = "enta"
+#: Place of a line: document id, a mark of its text, line number; documents without an id come last.
 LAST = 2**63 - 1
 
 
-def place(doc_id: Column, pos: Column) -> Column:
-    return F.coalesce(doc_id.cast("decimal(38,0)"), F.lit(LAST).cast("decimal(38,0)")) * F.lit(2**31).cast("decimal(38,0)") + pos
+def place(doc_id: Column, mark: Column, pos: Column) -> Column:
+    """One decimal that orders lines, so that the least is kept by a hash aggregate."""
+    wide = lambda x: x.cast("decimal(38,0)")
+    high = F.coalesce(wide(doc_id), wide(F.lit(LAST))) * F.lit(2**30).cast("decimal(10,0)") + mark
+    return wide(wide(high) * F.lit(2**31).cast("decimal(10,0)") + pos)
+
+
+def _unplace(at: Column) -> tuple[Column, Column, Column]:
+    """pos, mark and document id of a place."""
+    pos = F.pmod(at, F.lit(2**31).cast("decimal(38,0)")).cast("int")
+    high = ((at - pos) / F.lit(2**31).cast("decimal(10,0)")).cast("decimal(38,0)")
+    mark = F.pmod(high, F.lit(2**30).cast("decimal(38,0)")).cast("int")
+    return pos, mark, ((high - mark) / F.lit(2**30).cast("decimal(10,0)")).cast("long")
 
 
 def letter_counts(line: Column) -> Column:
-    """Eight counts modulo 256 in one long."""
+    """Counts of the COUNTED characters, modulo 256, in one long."""
     out = F.lit(0).cast("long")
     for i, c in enumerate(COUNTED):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
@@ -67,39 +78,56 @@ def probe_keys(line: Column, n: Column, edits: int, least: int) -> Column:
             for o in range(max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
                 at = start + o
                 keys.append(F.when((shorter >= least) & (at >= 0) & (at + size <= n), F.xxhash64(shorter, F.lit(i), F.substring(line, at + 1, size))))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two strings is at most edits: banded and bit-parallel.
+def chars(a: Column) -> Column:
+    """The characters of a string."""
+    return F.when(a != "", F.split(a, "")).otherwise(F.array().cast("array<string>"))
 
-    Bit o of word d says that the first j characters of b turn into the first j + o - edits of a by
-    at most d edits; the 2 * edits + 1 bits are the band.  One step for each character of b updates all
-    bits of a word together.
+
+def _band(x: Column, y: Column, edits: int) -> Column:
+    """Bits of the band after all characters of y, for up to edits edits.
+
+    Bit o of word d says that the first j characters of y turn into the first j + o - edits of x by
+    at most d edits; the 2 * edits + 1 bits are the band.  One step for each character of y updates all
+    bits of a word together.  The state has numbers only, as each step copies it; x should be a column.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
-    start = F.struct(*(F.lit(((1 << (d + 1)) - 1) << edits & full).alias(f"r{d}") for d in range(edits + 1)), x.alias("x"), y.alias("y"), m.alias("m"))
+    first = F.struct(*(F.lit(((1 << (d + 1)) - 1) << edits & full).alias(f"r{d}") for d in range(edits + 1)), F.lit(-edits).alias("at"))
 
-    def step(s: Column, j: Column) -> Column:
-        c = F.get(s["y"], j - 1)
-        match, valid = F.lit(0), F.lit(0)
+    def step(s: Column, c: Column) -> Column:
+        # positions outside x give null, so no match; what is beyond x's end never comes back
+        match = F.lit(0)
         for o in range(width):
-            i = j + (o - edits)
-            match = match.bitwiseOR(F.when((i >= 1) & (i <= s["m"]) & (F.get(s["x"], i - 1) == c), 1 << o).otherwise(0))
-            valid = valid.bitwiseOR(F.when((i >= 0) & (i <= s["m"]), 1 << o).otherwise(0))
-        words = [s["r0"].bitwiseAND(match)]
+            match = match.bitwiseOR(F.when(F.get(x, s["at"] + o) == c, 1 << o).otherwise(0))
+        return F.transform(F.array(match), lambda m: words(s, m))[0]
+
+    def words(s: Column, match: Column) -> Column:
+        out = [s["r0"].bitwiseAND(match)]
         for d in range(1, edits + 1):
-            old, new = s[f"r{d - 1}"], words[d - 1]
-            words.append(s[f"r{d}"].bitwiseAND(match).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(valid))
-        return F.struct(*(w.alias(f"r{d}") for d, w in enumerate(words)), s["x"].alias("x"), s["y"].alias("y"), s["m"].alias("m"))
+            old, new = s[f"r{d - 1}"], out[d - 1]
+            out.append(s[f"r{d}"].bitwiseAND(match).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(F.lit(full)))
+        return F.struct(*(w.alias(f"r{d}") for d, w in enumerate(out)), (s["at"] + 1).alias("at"))
 
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(steps, start, step, lambda s: s[f"r{edits}"])
-    whole = F.get(F.array(*(F.lit(1 << o) for o in range(width))), m - n + edits)  # the bit of all of a
-    return F.coalesce((F.abs(m - n) <= edits) & (end.bitwiseAND(whole) != 0), F.lit(False))
+    return F.aggregate(y, first, step, lambda s: s[f"r{edits}"])
+
+
+#: Characters after which a comparison is given up where no bit of the band is left.
+PROBED = 24
+
+
+def within_edits(x: Column, y: Column, edits: int) -> Column:
+    """Whether the edit distance of two arrays of characters is at most edits: banded and bit-parallel.
+
+    The band of the first PROBED characters is looked at first; without a bit left, no more edits can help.
+    """
+    m, n = F.size(x), F.size(y)
+    near = F.abs(m - n) <= edits
+    alive = _band(x, F.slice(y, 1, PROBED), edits) != 0
+    whole = F.get(F.array(*(F.lit(1 << o) for o in range(2 * edits + 1))), m - n + edits)  # the bit of all of x
+    return F.coalesce(F.when(near & alive, _band(x, y, edits).bitwiseAND(whole) != 0), F.lit(False))
 
 
 def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
@@ -111,48 +139,61 @@ def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, h of each distinct non-blank line's first occurrence, and of every blank line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    h = F.xxhash64("line")
-    full = lines.filter(F.trim("line") != "").select(h.alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), place(F.col("doc_id"), F.col("pos")).alias("at"))
+    """doc_id, mark, pos, h of each distinct non-blank line's first occurrence; docs has a column mark."""
+    lines = docs.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    full = lines.select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), place(F.col("doc_id"), F.col("mark"), F.col("pos")).alias("at"))
     firsts = full.groupBy("h", "h2").agg(F.min("at").alias("at"))
-    doc = F.floor(F.col("at") / F.lit(2**31).cast("decimal(38,0)")).cast("long")
-    firsts = firsts.select(F.when(doc != LAST, doc).alias("doc_id"), F.pmod("at", F.lit(2**31).cast("decimal(38,0)")).cast("int").alias("pos"), "h")
-    return firsts.unionByName(lines.filter(F.trim("line") == "").select("doc_id", "pos", h.alias("h")))
-
-
-def _with_lines(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """docs joined with an array `want` of struct(pos, h) for each document that has rows in wanted."""
-    by_doc = wanted.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("want"))
-    other = by_doc.withColumnRenamed("doc_id", "want_doc")
-    return docs.select(*columns).join(other, F.col("doc_id").eqNullSafe(F.col("want_doc"))).drop("want_doc")
-
-
-def _wanted_lines(joined: DataFrame) -> DataFrame:
-    split = joined.select("doc_id", F.split("text", "\n").alias("all"), F.explode("want").alias("w"))
-    lines = split.select("doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"), F.get("all", F.col("w.pos")).alias("line"))
-    return lines.filter(F.xxhash64("line") == F.col("h"))
-
-
-def near_lines(docs: DataFrame, firsts: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos, h of first occurrences within `edits` edits of a distinct line that occurs earlier."""
-    lines = _wanted_lines(_with_lines(docs, firsts, ["doc_id", "text"])).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
-    keyed = lines.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "pos", "h", letter_counts(F.col("line")).alias("counts"), index_keys(F.col("line"), F.col("n"), edits).alias("own"), probe_keys(F.col("line"), F.col("n"), edits, least).alias("probes"), "n")
-    sides = keyed.select("doc", "pos", "h", "counts", "n", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform(F.array_distinct("probes"), lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("e")).select("doc", "pos", "h", "counts", "n", F.col("e.key").alias("key"), F.col("e.own").alias("own"))
-    a = sides.filter("own").select("key", *(F.col(c).alias(f"a_{c}") for c in ("doc", "pos", "h", "counts", "n")))
-    b = sides.filter("NOT own").select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc", "pos", "h", "counts", "n")))
-    earlier = F.struct("a_doc", "a_pos", "a_h") < F.struct("b_doc", "b_pos", "b_h")
-    pairs = b.join(a.hint("shuffle_hash"), "key").filter((F.col("a_h") != F.col("b_h")) & ((F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & earlier) & counts_near(F.col("a_counts"), F.col("b_counts"), edits))
-    first, second = ("a", "b"), ("b", "a")
-    pairs = pairs.select(*(F.when(earlier, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{side}_{c}") for side, (x, y) in (("one", first), ("two", second)) for c in ("doc", "pos", "h"))).distinct()
-    pairs = cut(pairs, "line-pairs")
-    need = pairs.select(F.col("one_doc").alias("doc_id"), F.col("one_pos").alias("pos"), F.col("one_h").alias("h")).union(pairs.select("two_doc", "two_pos", "two_h"))
-    need = cut(need.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id"))).distinct(), "line-needs")
-    text = _wanted_lines(_with_lines(docs, need, ["doc_id", "text"])).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "pos", "h", "line").distinct()
-    for side in ("one", "two"):
-        pairs = pairs.join(text.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc", "pos", "h", "line"))), [f"{side}_doc", f"{side}_pos", f"{side}_h"])
-    near = pairs.filter(within_edits(*trimmed(F.col("one_line"), F.col("two_line")), edits))
-    return near.select(F.when(F.col("two_doc") != LAST, F.col("two_doc")).alias("doc_id"), F.col("two_pos").alias("pos"), F.col("two_h").alias("h")).distinct()
+    pos, mark, doc = _unplace(F.col("at"))
+    return firsts.select(F.when(doc != LAST, doc).alias("doc_id"), mark.alias("mark"), pos.alias("pos"), "h", "at")
+
+
+def flags(positions: Column) -> Column:
+    """A string with a 1 at each of the sorted positions and 0 before and between them."""
+    before = lambda i: F.coalesce(F.get(positions, i - 1), F.lit(-1))
+    return F.array_join(F.transform(positions, lambda p, i: F.concat(F.repeat(F.lit("0"), p - before(i) - 1), F.lit("1"))), "")
+
+
+def flagged_lines(d: DataFrame) -> DataFrame:
+    """doc_id, mark, pos, line of the lines of d that its column flags marks: one pass over each text."""
+    zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.split("flags", "").alias("flag"))
+    return d.select("doc_id", "mark", F.posexplode(zipped).alias("pos", "x")).filter("x.flag = '1'").select("doc_id", "mark", "pos", F.col("x.line").alias("line"))
+
+
+def with_flags(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """docs with the flags of its rows in lines(doc_id, mark, pos)."""
+    found = lines.groupBy(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark")).agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+    found = found.select("f_doc", "f_mark", flags(F.col("pos")).alias("flags"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["f_doc"]) & (docs["mark"] == found["f_mark"]), how).drop("f_doc", "f_mark")
+
+
+def near_lines(marked: DataFrame, firsts: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """doc_id, mark, pos of first occurrences within `edits` edits of a distinct line that occurs earlier.
+
+    marked: documents with flags of their first occurrences.
+    """
+    lines = flagged_lines(marked).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
+    slim = [F.xxhash64("line").alias("h"), letter_counts(F.col("line")).alias("counts"), "n"]
+    # keys and the rest are made before the rows are multiplied
+    a = lines.select(*slim, index_keys(F.col("line"), F.col("n"), edits).alias("keys")).select("h", "counts", "n", F.explode("keys").alias("key")).select("key", *(F.col(c).alias(f"a_{c}") for c in ("h", "counts", "n")))
+    b = lines.select(*slim, probe_keys(F.col("line"), F.col("n"), edits, least).alias("keys")).select("h", "counts", "n", F.explode("keys").alias("key")).filter("key IS NOT NULL").select("key", *(F.col(c).alias(f"b_{c}") for c in ("h", "counts", "n")))
+    # lines of one length probe each other: one of the two finds is enough
+    once = (F.col("a_n") < F.col("b_n")) | (F.col("a_h") < F.col("b_h"))
+    pairs = b.join(a.hint("shuffle_hash"), "key").filter((F.col("a_h") != F.col("b_h")) & once & counts_near(F.col("a_counts"), F.col("b_counts"), edits))
+    pairs = cut(pairs.select("a_h", "b_h").distinct(), "line-pairs")
+    ids = cut(pairs.select(F.col("a_h").alias("h")).union(pairs.select("b_h")).distinct(), "line-ids")
+    need = cut(firsts.join(ids, "h", "left_semi"), "line-needs")
+    text = flagged_lines(with_flags(marked.select("doc_id", "mark", "text"), need, "inner"))
+    text = cut(text.select(F.xxhash64("line").alias("h"), place(F.col("doc_id"), F.col("mark"), F.col("pos")).alias("at"), "line").distinct(), "line-texts")
+    for side in ("a", "b"):
+        pairs = pairs.join(text.select(*(F.col(c).alias(f"{side}_{c}") for c in ("h", "at", "line"))), f"{side}_h")
+    # a generated row keeps the trimmed lines from being made again for each use
+    short_a, short_b = trimmed(F.col("a_line"), F.col("b_line"))
+    pairs = pairs.repartition(4 * marked.sparkSession.sparkContext.defaultParallelism)  # few bytes, much to compute
+    pairs = pairs.select("a_at", "b_at", F.inline(F.array(F.struct(chars(short_a).alias("x"), chars(short_b).alias("y")))))
+    pairs = pairs.select("a_at", "b_at", F.explode(F.array(within_edits(F.col("x"), F.col("y"), edits))).alias("near"))
+    near = pairs.filter("near").select(F.greatest("a_at", "b_at").alias("at")).distinct()
+    pos, mark, doc = _unplace(F.col("at"))
+    return near.select(F.when(doc != LAST, doc).alias("doc_id"), mark.alias("mark"), pos.alias("pos"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -162,19 +203,29 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     is dropped where a distinct line of at least `least` characters within `edits` edits, if it
     has as many itself, occurs earlier, dropped or not.  Blank lines stay.  line_text has the lines left,
     joined by newlines: null for a null text, and empty where none is left.  Documents without an id come last.
-    Rows of one doc_id count as one document, and equal rows keep the same lines.  No row is left out.
+    Rows of equal doc_id and text are one document and keep the same lines; rows of one doc_id and other texts
+    are ordered by a hash of the text.  No row is left out; input columns named as added ones are replaced.
+
+    Texts are exchanged once, with the flags of their first lines; the table that this makes is
+    written, and read for the keys, for the texts of candidate pairs and for the result.
     """
-    firsts = cut(first_lines(docs), "line-firsts")
-    near = cut(near_lines(docs, firsts, edits, least), "line-near")
-    kept = firsts.join(near, firsts["doc_id"].eqNullSafe(near["doc_id"]) & (firsts["pos"] == near["pos"]) & (firsts["h"] == near["h"]), "left_anti")
-    marks = kept.select("doc_id", "pos", "h", F.lit(0).alias("near")).unionByName(near.withColumn("near", F.lit(1)))
-    by_doc = marks.groupBy(F.col("doc_id").alias("want_doc")).agg(F.array_sort(F.collect_set(F.when(F.col("near") == 0, F.struct("pos", "h")))).alias("want"), F.sum("near").alias("line_near"))
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["want_doc"]), "left").drop("want_doc")
-    joined = joined.withColumn("line_all", F.split("text", "\n"))
-    lines = F.filter(F.transform(F.coalesce("want", F.array()), lambda w: F.when(F.xxhash64(F.get("line_all", w["pos"])) == w["h"], F.get("line_all", w["pos"]))), lambda x: x.isNotNull())
-    joined = joined.withColumn("line_kept", F.when(F.col("text").isNotNull(), lines))
-    filled = lambda c: F.coalesce(F.size(F.filter(c, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    return joined.select(*docs.columns, F.array_join("line_kept", "\n").alias("line_text"), F.when(F.col("text").isNull(), 0).otherwise(filled(F.col("line_all"))).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(filled(F.col("line_kept"))).alias("n_kept"), F.coalesce("line_near", F.lit(0)).alias("n_near"))
+    marks = carried(docs, "doc_id", "text").withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"))
+    firsts = cut(first_lines(marks), "line-firsts")
+    marked = cut(with_flags(marks, firsts, "left"), "line-marked")
+    near = cut(near_lines(marked, firsts, edits, least), "line-near")
+    dropped = with_flags(marked.withColumnRenamed("flags", "first_flags"), near, "left")
+    zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(F.coalesce("first_flags", F.lit("")), "").alias("first"), F.split(F.coalesce("flags", F.lit("")), "").alias("near"))
+    kept = F.filter("line_all", lambda x: (F.trim(x["line"]) == "") | ((x["first"] == "1") & ~F.coalesce(x["near"] == "1", F.lit(False))))
+    filled = lambda c: F.coalesce(F.size(F.filter(c, lambda x: F.trim(x["line"]) != "")), F.lit(0)).cast("long")
+    known = F.col("text").isNotNull()
+    out = dropped.withColumn("line_all", F.filter(zipped, lambda x: x["line"].isNotNull())).withColumn("line_kept", kept)
+    added = {
+        "line_text": F.when(known, F.array_join(F.transform("line_kept", lambda x: x["line"]), "\n")),
+        "n_lines": F.when(known, filled("line_all")).otherwise(0),
+        "n_kept": F.when(known, filled("line_kept")).otherwise(0),
+        "n_near": F.length(F.replace(F.coalesce("flags", F.lit("")), F.lit("0"), F.lit(""))).cast("long"),
+    }
+    return uncarried(out, docs.columns, ("doc_id", "text"), added)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
