@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, table
-from lattica.llm.jaccard import jaccard_components
+from lattica.llm.jaccard import jaccard_rows, text_hash
 from lattica.llm.langid import document_model, identify_documents
 from lattica.llm.line_dedup import dedup_lines
 from lattica.llm.mixing import mixed
@@ -31,13 +31,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies, and one row of it.
+    """One row of each component of near copies: of the smallest doc_id in it, null last, and there of the smallest text hash.
 
-    Rows without a doc_id can't be named as copies and stay.
+    Decided by row, as rows of one doc_id may have unlike texts.  Rows without words link with nothing and stay.
     """
-    ids = cut(jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-kept")
-    first = docs.join(ids, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return first.filter("_row = 1").drop("_row").unionByName(docs.filter("doc_id IS NULL"))
+    keys = ["_id", "_null", "_hash"]
+    named = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
+    rows = cut(jaccard_rows(docs).select(*named, F.col("text_hash").alias("_hash"), "label"), "pipeline-components")
+    first = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("_null", "_id", "_hash")).alias("k"))
+    first = first.select(*(F.col("k")[k].alias(k) for k in keys), F.lit(True).alias("_once"))
+    kept = cut(first.unionByName(rows.filter("label IS NULL").select(*keys, F.lit(False).alias("_once")).distinct()), "pipeline-kept")
+    # joined and ranked by the same keys, so texts are exchanged once
+    found = docs.select("*", *named, text_hash(F.col("text")).alias("_hash")).join(kept, keys)
+    ranked = found.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*docs.columns)))
+    return ranked.filter("_row = 1 OR NOT _once").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

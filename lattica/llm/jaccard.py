@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, parts_for, table
@@ -32,7 +32,7 @@ BUCKET_ROWS = 3_000_000
 CLUSTER, BLOCK, PIVOTS = 4096, 2048, 16
 #: Bytes of text hashed at once.
 CHUNK = 1 << 21
-SIGNED = "bucket int, doc_id long, n int, m int, cid long, blob binary"
+SIGNED = "bucket int, doc_id long, text_hash long, n int, m int, cid long, blob binary"
 
 
 def enough(n: int) -> int:
@@ -40,6 +40,11 @@ def enough(n: int) -> int:
     return -(-3 * n // 4)
 
 
+def text_hash(text: Column) -> Column:
+    """A signed 64-bit hash of a text, of null too."""
+    return F.xxhash64(text)
+
+
 def _chunks(texts: list) -> Iterator[tuple[int, list[bytes]]]:
     at, held, size = 0, [], 0
     for i, t in enumerate(texts):
@@ -93,11 +98,11 @@ def _sign(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                         seen.add(c)
                         hashes.append(part)
                         owner.append(np.full(len(part), at + i, np.uint32))
-            docs = pd.DataFrame({"doc_id": b["doc_id"], "n": n, "m": m, "cid": cid})
+            docs = pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "m": m, "cid": cid})
             packed = _blobs(np.concatenate(hashes), np.concatenate(owner), np.array(cid, "<i8"), buckets) if hashes else None
             for f in (docs, packed):
                 if f is not None and len(f):
-                    yield f.reindex(columns=["bucket", "doc_id", "n", "m", "cid", "blob"]).astype({c: "Int64" for c in ("bucket", "doc_id", "n", "m", "cid")})
+                    yield f.reindex(columns=["bucket", "doc_id", "text_hash", "n", "m", "cid", "blob"]).astype({c: "Int64" for c in ("bucket", "doc_id", "text_hash", "n", "m", "cid")})
 
     return run
 
@@ -282,10 +287,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts count as documents of their own.  A null doc_id takes part, but is never a component's smallest
     unless all of it are null.  Sets are of 64-bit hashes: all documents, whole texts.
     """
+    return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """jaccard_components() with two more columns: text_hash, which is text_hash() of the row's text, and label, the
+    component's own name, null for a row without shingles; doc_ids don't tell components apart where they repeat."""
     shingles = parts_for(docs, "text", 6) * 1_000_000
     buckets = max(8, -(-shingles * EIGHTHS // 8 // BUCKET_ROWS))
-    signed = cut(docs.select("doc_id", "text").mapInPandas(_sign(buckets), SIGNED), "jaccard-signed")
-    rows = signed.filter("bucket IS NULL").select("doc_id", "n", "m", "cid")
+    signed = cut(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInPandas(_sign(buckets), SIGNED), "jaccard-signed")
+    rows = signed.filter("bucket IS NULL").select("doc_id", "text_hash", "n", "m", "cid")
     classes = cut(rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.min("doc_id").alias("rep")), "jaccard-classes")
     shared = signed.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInPandas(_count_shared, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
     active = classes.join(shared, "cid", "left").filter("m - coalesce(shared, 0) <= n div 4").select("cid", "n", "rep")
@@ -309,9 +320,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
     joined = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = cut(joined.join(smallest, "label").select("cid", "component_id"), "jaccard-components")
+    found = cut(joined.join(smallest, "label").select("cid", "label", "component_id"), "jaccard-components")
     out = rows.join(found, "cid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -457,3 +457,13 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, now, d).toPandas()
     assert set(out["doc_id"]) == set(now.toPandas()["doc_id"]) and (out.groupby("bin_id")["n_tokens"].sum() <= 4096).all()
     assert isinstance(out, pd.DataFrame)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(10)) for x in "abcde")
+    texts = [(7, a), (7, b), (3, c), (8, c), (8, d), (8, d), (None, e), (None, e), (None, e.upper()), (1, None), (None, ""), (None, "")]
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS), "").collect()
+    want = [(7, a), (7, b), (3, c), (8, d), (None, e), (1, None), (None, ""), (None, "")]
+    assert sorted(str((r["doc_id"], r["text"] and r["text"].lower())) for r in got) == sorted(map(str, want))
