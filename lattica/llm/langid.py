@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import cut, table, uncarried
 
-#: The classifier is fitted on at most so many labelled texts of each language, first by a seeded hash, and
-#: on so many languages, the most frequent; rows to identify have no such bounds.
-FIT_TEXTS, FIT_LANGUAGES = 1000, 64
+#: The classifier is fitted on about so many labelled texts of each language, by a seeded hash, and on every
+#: language; rows to identify have no such bound.
+FIT_TEXTS = 1000
+#: Languages whose counts a fitting task holds before it hands them on.
+HELD_LANGUAGES = 64
 SLOTS = 1 << 16
 CHUNK = 1 << 20
 #: Text evidence counts as that of n / (1 + n / FULL) trigrams: neighbours in a text are not independent.
@@ -48,47 +50,67 @@ def _bytes(x: str | None, markup: bool) -> bytes:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pd.DataFrame]:
+        for language, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"language": language, "slot": at, "n": n[at]})
+        sums.clear()
+
     for b in batches:
         for language, text in zip(b["language"], b["text"], strict=True):
-            sums.setdefault(language, np.zeros(SLOTS, np.int64))
+            if language not in sums:
+                if len(sums) >= HELD_LANGUAGES:
+                    yield from counted()
+                sums[language] = np.zeros(SLOTS, np.int64)
             sums[language] += np.bincount(trigrams([_bytes(text, False)])[0], minlength=SLOTS)
-    for language, n in sums.items():
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"language": language, "slot": at, "n": n[at]})
+    yield from counted()
+
 
+#: For each language: slots of the trigrams that its texts have, their ln probabilities, and that of all others.
+Model = list[tuple[np.ndarray, np.ndarray, np.float32]]
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and a table (SLOTS, languages) of ln trigram probabilities, from labelled(doc_id, text, language)."""
+
+def fit(labelled: DataFrame) -> tuple[list[str], Model]:
+    """Languages, the most frequent first, and their trigrams, from labelled(doc_id, text, language)."""
     known = labelled.filter("language IS NOT NULL AND language <> '' AND text IS NOT NULL")
-    common = [r["language"] for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(FIT_LANGUAGES).collect()]
+    counts = {r["language"]: r["count"] for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").collect()}
+    if not counts:
+        return [], []
     # a threshold on the hash takes the sample without ordering the rows of a language together
     rank = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 40)
-    counts = {r["language"]: r["count"] for r in known.groupBy("language").count().collect() if r["language"] in common}
-    share = F.lit(0)
-    for language, n in counts.items():
-        share = F.when(F.col("language") == language, F.lit(int(min(1.0, FIT_TEXTS / n) * (1 << 24)))).otherwise(share)
-    sample = known.filter(rank < share)
-    sums = np.zeros((SLOTS, len(common)))
+    shares = F.create_map(*(F.lit(x) for language, n in counts.items() for x in (language, int(min(1.0, FIT_TEXTS / n) * (1 << 24)))))
+    sample = known.filter(rank < shares[F.col("language")])
+    # SLOTS rows a language at most
     found = sample.select("language", "text").mapInPandas(_count, "language string, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n")).toPandas()
-    # SLOTS x FIT_LANGUAGES rows at most
-    np.add.at(sums, (found["slot"].to_numpy(np.int64), found["language"].map({x: i for i, x in enumerate(common)}).to_numpy(np.int64)), found["n"].to_numpy(float))
-    return common, (np.log(sums + 0.1) - np.log(sums.sum(0) + 0.1 * SLOTS))
+    by = {x: (g["slot"].to_numpy(np.int64), g["n"].to_numpy(float)) for x, g in found.groupby("language")}
+    model = []
+    for language in counts:
+        at, n = by.get(language, (np.zeros(0, np.int64), np.zeros(0)))
+        whole = np.log(n.sum() + 0.1 * SLOTS)
+        model.append((at.astype(np.uint16), (np.log(n + 0.1) - whole).astype(np.float32), np.float32(np.log(0.1) - whole)))
+    return list(counts), model
 
 
-def text_evidence(spark: SparkSession, model: np.ndarray, markup: bool) -> Callable:
+def text_evidence(spark: SparkSession, model: Model, markup: bool) -> Callable:
     """A column function: trigrams of the text, then the mean ln likelihood under each language."""
-    shared = spark.sparkContext.broadcast(model.astype(np.float32))  # SLOTS x FIT_LANGUAGES floats at most
+    shared = spark.sparkContext.broadcast(model)  # 6 bytes for each trigram of each language
+
+    def column(j: int) -> np.ndarray:
+        at, p, rest = shared.value[j]
+        whole = np.full(SLOTS, rest, np.float32)
+        whole[at] = p
+        return whole
 
     @F.pandas_udf("array<double>")
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
         for texts in batches:
             out, held, size = [], [], 0
 
             def flush(out: list = out, held: list = held) -> None:
                 h, starts = trigrams(held)
                 n = np.diff(np.append(starts, len(h)))
-                means = np.stack([np.add.reduceat(m[:, j][h], starts, dtype=np.float64) for j in range(m.shape[1])], 1) / n[:, None]
+                means = np.stack([np.add.reduceat(column(j)[h], starts, dtype=np.float64) for j in range(len(shared.value))], 1) / n[:, None]
                 # a text of spaces alone says nothing
                 out.extend(np.concatenate((np.array([[len(t) if t.strip() else 0] for t in held], float), means), 1))
                 held.clear()
@@ -116,7 +138,7 @@ def _distribution(counts: Column, prior: Column, weight: float) -> Column:
     return F.zip_with(counts, prior, lambda n, p: (n + F.lit(weight) * p) / (total + F.lit(weight)))
 
 
-def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str, declared: Column, host: Column, domain: Column, suffix: Column, markup: bool = False) -> DataFrame:
+def identify(rows: DataFrame, languages: list[str], model: Model, text: str, declared: Column, host: Column, domain: Column, suffix: Column, markup: bool = False) -> DataFrame:
     """rows with columns language, probability, text_language and accepted.
 
     declared, host, domain and suffix may be null: no evidence.  language is null, probability 0 and the row not
@@ -172,17 +194,17 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str
     return uncarried(out, columns, (), added)
 
 
-def document_model(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def document_model(spark: SparkSession, docs: DataFrame) -> tuple[list[str], Model]:
     return fit(docs.select("doc_id", "text", F.col("lang").alias("language")))
 
 
-def identify_documents(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+def identify_documents(docs: DataFrame, languages: list[str], model: Model) -> DataFrame:
     """identify() for documents: lang is the declared language, source the host; they have no address suffix."""
     none = F.lit(None).cast("string")
     return identify(docs, languages, model, "text", F.col("lang"), F.col("source"), F.lit("documents"), none)
 
 
-def identify_pages(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+def identify_pages(pages: DataFrame, languages: list[str], model: Model) -> DataFrame:
     """identify() for pages: the html element declares, the url has host, domain (last two names of it) and
     suffix (last name, and the first path part where it has two letters)."""
     nonempty = lambda c: F.when(c != "", c)

@@ -161,6 +161,15 @@ def test_language_id_edges(spark):
     assert langid.identify_pages(p, languages, model).count() == 3
 
 
+def test_language_id_knows_every_labelled_language(spark):
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}q" for x in "bdfhjlnprt")
+    d = spark.createDataFrame([(3 * i + j, own(i), f"l{i:02}", "s", 9) for i in range(70) for j in range(3 if i < 66 else 2)], DOCS)
+    languages, model = langid.document_model(spark, d)
+    assert languages == [f"l{i:02}" for i in range(70)]
+    got = langid.identify_documents(d, languages, model).collect()
+    assert all(r["language"] == r["lang"] for r in got)
+
+
 # ---------------------------------------------------------------- top-k and nearest neighbours
 
 
