@@ -210,7 +210,7 @@ def identify_pages(pages: DataFrame, languages: list[str], model: Model) -> Data
     nonempty = lambda c: F.when(c != "", c)
     host = nonempty(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     suffix = F.concat(F.regexp_extract(host, "([^.]*)$", 1), F.lit("/"), F.regexp_extract("url", "^[^:]*://[^/]*/([a-zA-Z]{2})(?:/|$)", 1))
-    declared = nonempty(F.regexp_extract(F.substring("html", 1, 4096), "(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
+    declared = nonempty(F.regexp_extract("html", "(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
     return identify(pages, languages, model, "html", declared, host, F.regexp_extract(host, "([^.]*\\.?[^.]*)$", 1), suffix, markup=True)
 
 

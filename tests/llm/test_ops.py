@@ -170,6 +170,14 @@ def test_language_id_knows_every_labelled_language(spark):
     assert all(r["language"] == r["lang"] for r in got)
 
 
+def test_declared_language_after_a_long_beginning(spark):
+    d = spark.createDataFrame([(i, " ".join(f"{x}{y}" for x in "abcdef" for y in "bcdfg"), lang, "s", 9) for i, lang in enumerate(["aa", "bb"] * 3)], DOCS)
+    page = lambda lang, before: f"{before}<html lang='{lang}'><p>ab ac ad af ag bb bc bd bf bg</p></html>"
+    p = spark.createDataFrame([(2 * i + j, "u", page(lang, before)) for i, lang in enumerate(["aa", "bb"]) for j, before in enumerate(["<!--x-->", "<!--" + "licence " * 900 + "-->"])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["probability"] for r in langid.identify_pages(p, *langid.document_model(spark, d)).collect()}
+    assert got[0] == got[1] and got[2] == got[3]
+
+
 # ---------------------------------------------------------------- top-k and nearest neighbours
 
 
