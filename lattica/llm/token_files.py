@@ -112,15 +112,19 @@ class PieceEncoder:
 
     The library splits a text into pieces by a fixed rule and encodes each alone; so do we, keeping the
     pieces' ids.  Pieces of a space and letters or digits go to the library many at a time in one text.
+    With encode_special_tokens, special tokens that a text spells out are text like other; without it, as
+    the library has it by default, they get their own ids: texts with an added token in them go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, encode_special_tokens: bool = True) -> None:
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special_tokens
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if not (encode_special_tokens and x.special)]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else None
         self.any = regex.compile(_ANY)
         self.known: dict[str, bytes] = {}
 
@@ -140,6 +144,18 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.added and (whole := [i for i, x in enumerate(texts) if self.added(x)]):
+            out: list[bytes] = [b""] * len(texts)
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+            rest = sorted(set(range(len(texts))).difference(whole))
+            for i, x in zip(rest, self._encode_plain([texts[i] for i in rest]), strict=True):
+                out[i] = x
+            return out
+        return self._encode_plain(texts)
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """encode() of texts without added tokens."""
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         split = [(_NEAR if x.isascii() or _NEAR_TEXT(x) else self.any).findall(x) for x in texts]
@@ -150,19 +166,20 @@ class PieceEncoder:
         return [b"".join(map(get, x)) for x in split]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, encode_special_tokens: bool = True) -> PieceEncoder:
+    key = path, encode_special_tokens
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
 # ---------------------------------------------------------------- writing and reading
 
 
-def _write(path: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _write(path: str, end_id: int, encode_special_tokens: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -177,7 +194,7 @@ def _write(path: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
         for b in batches:
             ids, texts = b["doc_id"].tolist(), b["text"].tolist()
             for i in range(0, len(ids), 256):
-                for d, x in zip(ids[i : i + 256], encoder(path).encode([x or "" for x in texts[i : i + 256]]), strict=True):
+                for d, x in zip(ids[i : i + 256], encoder(path, encode_special_tokens).encode([x or "" for x in texts[i : i + 256]]), strict=True):
                     docs.append(d)
                     held.append(x + end)
                     n += len(x) // 4 + 1
@@ -190,16 +207,16 @@ def _write(path: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, encode_special_tokens: bool = True) -> DataFrame:
     """Encode docs(doc_id, text) to token files in ascending doc_id order (nulls first).
 
     Returns the table of files as written to the shared folder: part, seq (their order), n_docs, n_ids,
     file.  A null text is an empty one; every document gets end_id after its ids.  Rows of one doc_id
-    are ordered by text.  tokenizer_path must be readable on every executor.
+    are ordered by text.  tokenizer_path must be readable on every executor.  encode_special_tokens as for PieceEncoder.
     """
     n = parts_for(docs, "text", 16, 1)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInPandas(_write(tokenizer_path, end_id), FILES), "token-files")
+    return cut(ordered.mapInPandas(_write(tokenizer_path, end_id, encode_special_tokens), FILES), "token-files")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,4 +242,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, encode_special_tokens=False))

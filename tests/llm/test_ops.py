@@ -345,6 +345,18 @@ def test_token_files_rows(spark, monkeypatch):
     assert token_files.read_token_files(token_files.write_token_files(d.limit(0), path)).count() == 0
 
 
+def test_token_files_query_encodes_as_the_tokenizer_does_as_loaded(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a b <|endoftext|> c", "<|endoftext|><|endoftext|>x  <|endoftext|>", "plain  text", None, "<|endoftext|"]
+    docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
+    got = QUERIES["op7_token_files"](spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    assert got["n_tokens"].tolist() == [len(x) for x in ids] and got["ids_crc32"].tolist() == [zlib.crc32(x.tobytes()) for x in ids]
+
+
 # ---------------------------------------------------------------- Jaccard
 
 
