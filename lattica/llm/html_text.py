@@ -18,6 +18,8 @@ SKIP = frozenset("script style noscript template head title nav footer aside for
 #: Elements that start and end a line of text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that hold blocks: neighbouring blocks of one of them make a region.
+CONTAINERS = frozenset("html body div section article main center".split())
 #: Words of class or id values, and roles, that mark page furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
@@ -48,41 +50,44 @@ def _furniture(tag: str, attrs: list, in_main: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [region, text pieces, tags, characters inside links]."""
+    """Collects lines: [place, text pieces, tags, characters inside links]; see place()."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # element, and whether its content is skipped
-        self.skipped = self.links = self.main = 0
-        self.region = self.regions = 0
-        self.mains: set[int] = set()
+        self.open: list[tuple[str, bool, int]] = []  # element, whether its content is skipped, its number
+        self.skipped = self.links = self.main = self.elements = 0
         self.lines: list[list] = []
-        self.now: list = [0, [], 0, 0]
+        self.now: list = [None, [], 0, 0]
 
     def flush(self) -> None:
         if self.now[1]:
             self.lines.append(self.now)
-        self.now = [self.region, [], 0, 0]
+        self.now = [None, [], 0, 0]
+
+    def place(self) -> tuple[int, str, bool]:
+        """The container whose block the text is in, the kind of the block, and whether an article or main element is open.
+
+        Blocks that hold text alone are of one kind, but for containers, which are of their own name's.
+        """
+        tags = [x[0] for x in self.open]
+        kind, at = "text", len(tags) - 1
+        while at >= 0 and tags[at] not in BLOCK:
+            at -= 1
+        if at >= 0 and tags[at] in ("div", "section", "center"):
+            kind, at = tags[at], at - 1
+        while at >= 0 and tags[at] not in CONTAINERS:
+            at -= 1
+        return self.open[at][2] if at >= 0 else 0, kind, self.main > 0
 
     def pop(self) -> str:
-        tag, skipped = self.open.pop()
+        tag, skipped, _ = self.open.pop()
         self.skipped -= skipped
         self.links -= tag == "a"
         if tag in BLOCK:
             self.flush()
-        if tag in MAIN:
-            self.main -= 1
-            if not self.main:
-                self.next_region()
-        elif not self.main and len(self.open) <= 2 and tag in BLOCK and tag not in ("html", "body"):
-            self.next_region()
+        self.main -= tag in MAIN
         return tag
 
-    def next_region(self) -> None:
-        self.regions += 1
-        self.region = self.regions
-        self.now[0] = self.region
-
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P and any(x[0] == "p" for x in self.open[-8:]):
             at = max(i for i, x in enumerate(self.open) if x[0] == "p")
@@ -97,14 +102,9 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         skip = _furniture(tag, attrs, self.main > 0)
-        if tag in MAIN:
-            if not self.main:
-                self.next_region()
-                self.mains.add(self.region)
-            self.main += 1
-        elif not self.main and tag in BLOCK and tag not in ("html", "body") and len(self.open) <= 2:
-            self.next_region()
-        self.open.append((tag, skip))
+        self.main += tag in MAIN
+        self.elements += 1
+        self.open.append((tag, skip, self.elements))
         self.skipped += skip
         self.links += tag == "a"
 
@@ -124,6 +124,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.now[1].append(data)
+            if self.now[0] is None and not data.isspace():
+                self.now[0] = self.place()
             if self.links:
                 self.now[3] += len(data)
 
@@ -139,31 +141,27 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     """The main text of one page; empty for null, empty or text-free pages.
 
     Lines are the blocks that the parser's events mark off.  A line's ratio is its characters outside
-    links over its tags.  Ratios are smoothed along the page; a region (an article or main element, or
-    a top-level block of the body) is content when it is an article or main element, or, on pages
-    without one, when its highest smoothed ratio reaches share x the page's standard deviation
-    and less than half of its text is in links.
-    All lines of content regions are kept.
+    links over its tags.  Ratios are smoothed along the page; a line is strong when its smoothed ratio reaches
+    share x the page's standard deviation, half of that inside an article or main element.  A region, which is
+    neighbouring blocks of one kind in one container, is content when strong lines have half of its text
+    or more and links less than half.  All lines of content regions are kept.
     """
     if not html:
         return ""
     p = _Lines()
     p.feed(html)
     p.close()
-    p.region = -1
     p.flush()
-    lines = [(r, text, tags, linked) for r, pieces, tags, linked in p.lines if (text := SPACE.sub(" ", "".join(pieces)).strip())]
+    lines = [(at, text, tags, linked) for at, pieces, tags, linked in p.lines if (text := SPACE.sub(" ", "".join(pieces)).strip())]
     if not lines:
         return ""
-    regions = np.array([x[0] for x in lines])
+    regions = np.cumsum([0, *(a[0] != b[0] for a, b in zip(lines, lines[1:], strict=False))])
     ratio = smoothed(np.array([max(0, len(x[1]) - x[3]) / max(1, x[2]) for x in lines], dtype=float), sigma)
-    if mains := p.mains & set(regions.tolist()):
-        keep = mains
-    else:
-        least = share * ratio.std()
-        size, linked = (np.bincount(regions, [f(x) for x in lines]) for f in (lambda x: len(x[1]), lambda x: x[3]))
-        keep = {r for r in set(regions.tolist()) if (top := ratio[regions == r].max()) > 0 and top >= least and 2 * linked[r] < size[r]}
-    return "\n".join(x[1] for x in lines if x[0] in keep)
+    least = share * ratio.std() * np.array([0.5 if x[0] and x[0][2] else 1.0 for x in lines])
+    size = np.array([len(x[1]) for x in lines])
+    whole, strong, linked = (np.bincount(regions, x) for x in (size, size * ((ratio > 0) & (ratio >= least)), [x[3] for x in lines]))
+    keep = (2 * strong >= whole) & (2 * linked < whole)
+    return "\n".join(x[1] for x, r in zip(lines, regions, strict=True) if keep[r])
 
 
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

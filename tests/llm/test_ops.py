@@ -108,6 +108,14 @@ def test_html():
     assert html_text.extract("<p>open <b>tags &am") == "open tags &am"
 
 
+def test_html_regions_are_chosen_on_every_page():
+    long, tags = "long text " * 40, "<div><i>a</i> <i>b</i> <i>c</i></div>" * 8
+    assert html_text.extract(f"<body><article><p>Teaser</p></article><div><p>{long}</p><p>{long}</p></div></body>").count("long text") == 80
+    got = html_text.extract(f"<body><article><p>{long}</p><p>short</p>{tags}<p>{long}</p></article></body>").split("\n")
+    assert got == [long.strip(), "short", long.strip()]
+    assert html_text.extract(f"<body><p>{long}</p>" + "<p>Yes.</p>" * 9 + f"<p>{long}</p></body>").count("Yes.") == 9
+
+
 def test_html_rows(spark):
     p = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>é</p>")], "page_id long, url string, html string")
     got = html_text.extract_pages(p).collect()
