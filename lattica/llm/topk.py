@@ -33,12 +33,13 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 def top_lists(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each row of scores, the positions of its k best candidates: score falling, then id rising.
 
-    ids must rise; own holds each row's own id, which never counts.
+    ids must rise, and may repeat; own holds each row's own id, which never counts.
     """
     n = scores.shape[1]
-    for row, me in zip(scores, own, strict=True):
-        if n > k + 1:
-            least = np.partition(row, n - k - 1)[n - k - 1]
+    more = k + np.searchsorted(ids, own, "right") - np.searchsorted(ids, own, "left")
+    for row, me, m in zip(scores, own, more, strict=True):
+        if n > m:
+            least = np.partition(row, n - m)[n - m]
             at = np.flatnonzero(row >= least)  # all ties at the border
         else:
             at = np.arange(n)
@@ -86,7 +87,8 @@ def merge_top(lists: DataFrame, k: int, shards: int) -> DataFrame:
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     """The k rows of largest integer inner product for each query.
 
-    queries(query_id long, v array<long>), rows(vec_id long, v array<long>), ids unique in each.
+    queries(query_id long, v array<long>), rows(vec_id long, v array<long>).  As in OP5_SQL, each repeated row is a
+    candidate of its own, and the rows of one query_id share its k ranks.
     Returns query_id, rank (from 1), vec_id, score.  A row whose id equals the query's is not its
     candidate; ties go to the smaller vec_id; vectors of different lengths do not meet; null vectors
     must be filtered out before (see usable).  Empty inputs give no rows.

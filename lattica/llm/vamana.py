@@ -158,11 +158,11 @@ def _search(k: int):
 def build_index(rows: DataFrame, k: int = 20) -> DataFrame:
     """A graph for each shard of rows(vec_id long, v array<double>): INDEXED, one row for each node.
 
-    Every row is indexed: a node stands for all rows of its vector and has the k + 1 smallest of their ids, all
+    Every distinct (vec_id, v) is indexed, repeated rows once: a node stands for all rows of its vector and has the k + 1 smallest of their ids, all
     that k nearest can need.  Nodes are dealt by a hash of the vector into shards of about SHARD_NODES.
     """
     w = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    few = rows.select("vec_id", "v").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
     nodes = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("first_id"))
     nodes = cut(nodes, "ann-nodes")
     shards = nodes.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / SHARD_NODES).cast("int").alias("shards"))
@@ -175,7 +175,9 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 20) -> DataFrame:
 
     Every shard's graph is searched for every query.  The score is the inner product of the original
     vectors in double precision; a row is no candidate of a query of its id; ties go to the smaller vec_id.
+    Repeated query rows count once; the vectors of one query_id share its k ranks.
     """
+    queries = queries.select("query_id", "v").distinct()
     blocks = max(1, -(-queries.count() // TASK_QUERIES))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     shards = index.select("shard", F.size("v").alias("dim")).distinct()

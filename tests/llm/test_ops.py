@@ -234,6 +234,16 @@ def test_graph_recall_and_ties(spark, monkeypatch):
     assert vamana.build_index(e.limit(0)).count() == 0
 
 
+def test_repeated_vectors(spark):
+    rows_ = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (3, [0.5, 0.0]), (20, [2.0, 0.0]), (20, [2.0, 0.0])]
+    e = spark.createDataFrame(rows_, "vec_id long, v array<double>")
+    q = e.filter("vec_id = 20").withColumnRenamed("vec_id", "query_id")
+    got = vamana.nearest(q, vamana.build_index(e, 3), 3).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2), (3, 3)]
+    ids = np.array([1, 2, 7, 7, 7, 9])
+    assert [x.tolist() for x in topk.top_lists(np.array([[1, 2, 9, 9, 9, 3]]), ids, np.array([7]), 2)] == [[5, 1]]
+
+
 # ---------------------------------------------------------------- scoring
 
 
