@@ -1,6 +1,6 @@
 """The registered queries of the graph engine, with DuckDB SQL for the same rows.
 
-Names begin with the id of the operator that they run.  Every query reads its whole tables.
+Names begin with the id of the operator that they run.  Some read a part of the graph only; README lists them.
 """
 
 from __future__ import annotations
