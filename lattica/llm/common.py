@@ -17,16 +17,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.  Only a local master goes without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.  freed() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def cut_bucketed(df: DataFrame, keys: list[str], buckets: int, what: str) -> DataFrame:
+    """cut(), as a table of hash buckets by keys: joins on them don't exchange it again."""
+    spark = df.sparkSession
+    name = f"lattica_{what.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    # the number of tasks is the number of buckets, so each writes one file
+    df.repartition(buckets, *keys).write.option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out._cut_path = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    spark = tables[0].sparkSession
+    jvm = spark._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    jvm.System.gc()
 
 
 def carried(df: DataFrame, *own: str) -> DataFrame:

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import carried, cut, table, uncarried
+from lattica.llm.common import carried, cut, cut_bucketed, freed, parts_for, table, uncarried
 
 #: Lines within this edit distance of an earlier line are dropped, if they have MIN_CHARS characters.
 MAX_EDITS, MIN_CHARS = 2, 24
-#: Characters that the length-and-count filter counts.
-COUNTED = "enta"
+#: Characters, the frequent ones first, that counts and classes tell apart; all others are alike.
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz0123456789"
+#: Numbers in the count filter, of 8 bits each.
+COUNTS = 8
+#: Lines that share a key are all compared up to this number; larger groups are divided first.
+GROUP = 64
+#: Megabytes of text in one bucket of the table of marked texts.
+BUCKET_MB = 64
 #: Place of a line: document id, a mark of its text, line number; documents without an id come last.
 LAST = 2**63 - 1
 
@@ -31,10 +37,10 @@ def _unplace(at: Column) -> tuple[Column, Column, Column]:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the COUNTED characters, modulo 256, in one long."""
+    """Counts of the characters of COUNTS classes of LETTERS, modulo 256, in one long."""
     out = F.lit(0).cast("long")
-    for i, c in enumerate(COUNTED):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+    for i in range(COUNTS):
+        n = F.octet_length(line) - F.octet_length(F.translate(line, LETTERS[i::COUNTS], ""))
         out = out.bitwiseOR(F.shiftleft((n % 256).cast("long"), 8 * i))
     return out
 
@@ -42,43 +48,87 @@ def letter_counts(line: Column) -> Column:
 def counts_near(a: Column, b: Column, edits: int) -> Column:
     """True unless the counts alone show more than edits edits (an edit changes two counts at most)."""
     far = F.lit(0)
-    for i in range(len(COUNTED)):
+    for i in range(COUNTS):
         d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)))
         far = far + F.least(d, 256 - d)
     return far <= 2 * edits
 
 
-def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i (from 1) of a line of n characters, later ones longer."""
-    base, extra = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-    start = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1 - parts) + extra)
-    return start, base + F.when(F.lit(parts - i) < extra, 1).otherwise(0)
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """(d, i, o): segment i of a line shorter by d is sought o characters after its own start.
+
+    A substring can match it only at the starts that both the edits before it (at most i - 1) and those
+    after it (at most edits + 1 - i) allow.  (0, i, 0) are a line's own segments, by which it is found.
+    """
+    return [(d, i, o) for d in range(edits + 1) for i in range(1, edits + 2) for o in range(max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1)]
+
+
+def segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """key, v of lines(line, n): a hash of length, segment number and content, and line_id + 1 for a line's own segments,
+    line_id for those that it seeks.
+
+    The probes are rows, so one short expression makes every key.
+    """
+    parts = edits + 1
+    probes = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in _probes(edits)))
+    x = lines.select(line_id(F.col("line")).alias("id"), "line", "n", F.explode(probes).alias("p"))
+    i, shorter = F.col("p.i"), F.col("n") - F.col("p.d")
+    base, extra = F.floor(shorter / parts).cast("int"), shorter % parts
+    at = (i - 1) * base + F.greatest(F.lit(0), i - 1 - parts + extra) + F.col("p.o")  # later segments are longer
+    x = x.select("id", "line", "n", i.alias("i"), shorter.alias("shorter"), at.alias("at"), (base + F.when(parts - i < extra, 1).otherwise(0)).alias("size"), ((F.col("p.d") == 0) & (F.col("p.o") == 0)).cast("long").alias("own"))
+    x = x.filter((F.col("shorter") >= least) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    return x.select(F.xxhash64("shorter", "i", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), (F.col("id") + F.col("own")).alias("v"))
+
+
+def line_id(line: Column) -> Column:
+    """An even 64-bit hash of a line."""
+    return F.shiftleft(F.xxhash64(line), 1)
+
+
+def classes(edits: int, turn: int) -> list[str]:
+    """Patterns of the characters outside each of 2 * edits + 1 classes; other turns mix the classes."""
+    k = 2 * edits + 1
+    of = ["".join(c + (c.upper() if c.isalpha() else "") for j, c in enumerate(LETTERS) if (j + turn * (j // k)) % k == x) for x in range(k)]
+    return [f"[^{x}]" for x in of[:-1]] + [f"[{''.join(of[:-1])}]"]
+
+
+def _own(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(1).cast("long"))
+
+
+def _id(v: Column) -> Column:
+    return v - _own(v)
 
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the edits + 1 segments: length, segment number and content."""
-    keys = []
-    for i in range(1, edits + 2):
-        start, size = _segment(n, i, edits + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def divided(rows: DataFrame, texts: DataFrame, edits: int, turn: int) -> DataFrame:
+    """key, v of large groups, with 2 * edits + 1 narrower keys for each row.
+
+    edits edits touch at most 2 * edits classes of characters, so two near lines have the same characters of
+    some class in the same order; the new keys hold those.
+    """
+    kept = [F.struct(F.lit(c).alias("c"), F.regexp_replace("line", p, "").alias("kept")) for c, p in enumerate(classes(edits, turn))]
+    of = texts.select("id", F.transform(F.array(*kept), lambda x: F.xxhash64(x["c"], x["kept"])).alias("kept"))
+    found = rows.select("key", "v", _id(F.col("v")).alias("id")).join(of, "id")
+    return found.select("key", "v", F.explode("kept").alias("kept")).select(F.xxhash64("key", "kept").alias("key"), "v")
 
 
-def probe_keys(line: Column, n: Column, edits: int, least: int) -> Column:
-    """Keys that a line of n characters seeks among lines of n - edits to n characters.
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """key, v of rows(key, v) whose key is a line's own and has other lines too; and the size of the group.
 
-    For segment i of a line shorter by d, a substring can match it only at the starts that both the
-    edits before it (at most i - 1) and those after it (at most edits + 1 - i) allow.
+    The rows are exchanged once: the join reads the exchange that the sums have read.
     """
-    keys = []
-    for d in range(edits + 1):
-        shorter = n - d
-        for i in range(1, edits + 2):
-            start, size = _segment(shorter, i, edits + 1)
-            for o in range(max(1 - i, d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1):
-                at = start + o
-                keys.append(F.when((shorter >= least) & (at >= 0) & (at + size <= n), F.xxhash64(shorter, F.lit(i), F.substring(line, at + 1, size))))
-    return F.array(*keys)
+    dealt = rows.repartition("key")
+    v = F.col("v")
+    groups = dealt.groupBy("key").agg(F.min(_id(v)).alias("least"), F.max(_id(v)).alias("most"), F.max(_own(v)).alias("own"), F.count("*").alias("size"))
+    groups = groups.filter("own = 1 AND least <> most").select("key", "size")
+    return dealt.join(groups.hint("shuffle_hash"), "key")
+
+
+def pairs_of(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """a, b (a < b) of each two lines of a group of which one's own segment is the key; with others, one of rows and one of others."""
+    x, y = (r.select("key", _id(F.col("v")).alias(n), _own(F.col("v")).alias(f"{n}_own")) for r, n in ((rows, "x"), (rows if others is None else others, "y")))
+    found = F.col("x_own") == 1 if others is None else (F.col("x_own") == 1) | (F.col("y_own") == 1)
+    return x.join(y, "key").filter(found & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def chars(a: Column) -> Column:
@@ -139,12 +189,12 @@ def trimmed(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, pos, h of each distinct non-blank line's first occurrence; docs has a column mark."""
-    lines = docs.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
-    full = lines.select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), place(F.col("doc_id"), F.col("mark"), F.col("pos")).alias("at"))
-    firsts = full.groupBy("h", "h2").agg(F.min("at").alias("at"))
+    """d, mark, pos, id of each distinct non-blank line's first occurrence; docs has columns d and mark."""
+    lines = docs.select("d", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    full = lines.select(line_id(F.col("line")).alias("id"), F.xxhash64("line", F.lit(1)).alias("h2"), place(F.col("d"), F.col("mark"), F.col("pos")).alias("at"))
+    firsts = full.groupBy("id", "h2").agg(F.min("at").alias("at"))
     pos, mark, doc = _unplace(F.col("at"))
-    return firsts.select(F.when(doc != LAST, doc).alias("doc_id"), mark.alias("mark"), pos.alias("pos"), "h", "at")
+    return firsts.select(doc.alias("d"), mark.alias("mark"), pos.alias("pos"), "id")
 
 
 def flags(positions: Column) -> Column:
@@ -154,46 +204,67 @@ def flags(positions: Column) -> Column:
 
 
 def flagged_lines(d: DataFrame) -> DataFrame:
-    """doc_id, mark, pos, line of the lines of d that its column flags marks: one pass over each text."""
+    """d, mark, pos, line of the lines that the column flags marks: one pass over each text."""
     zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.split("flags", "").alias("flag"))
-    return d.select("doc_id", "mark", F.posexplode(zipped).alias("pos", "x")).filter("x.flag = '1'").select("doc_id", "mark", "pos", F.col("x.line").alias("line"))
+    return d.select("d", "mark", F.posexplode(zipped).alias("pos", "x")).filter("x.flag = '1'").select("d", "mark", "pos", F.col("x.line").alias("line"))
 
 
-def with_flags(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
-    """docs with the flags of its rows in lines(doc_id, mark, pos)."""
-    found = lines.groupBy(F.col("doc_id").alias("f_doc"), F.col("mark").alias("f_mark")).agg(F.array_sort(F.collect_list("pos")).alias("pos"))
-    found = found.select("f_doc", "f_mark", flags(F.col("pos")).alias("flags"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["f_doc"]) & (docs["mark"] == found["f_mark"]), how).drop("f_doc", "f_mark")
+def with_flags(docs: DataFrame, lines: DataFrame, how: str, buckets: int) -> DataFrame:
+    """docs with the flags of its rows in lines(d, mark, pos), in buckets by hash."""
+    found = lines.repartition(buckets, "d", "mark").groupBy("d", "mark").agg(F.array_sort(F.collect_list("pos")).alias("pos")).select("d", "mark", flags(F.col("pos")).alias("flags"))
+    return docs.join(found.hint("shuffle_hash"), ["d", "mark"], how)
 
 
-def near_lines(marked: DataFrame, firsts: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, mark, pos of first occurrences within `edits` edits of a distinct line that occurs earlier.
-
-    marked: documents with flags of their first occurrences.
-    """
-    lines = flagged_lines(marked).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
-    slim = [F.xxhash64("line").alias("h"), letter_counts(F.col("line")).alias("counts"), "n"]
-    # keys and the rest are made before the rows are multiplied
-    a = lines.select(*slim, index_keys(F.col("line"), F.col("n"), edits).alias("keys")).select("h", "counts", "n", F.explode("keys").alias("key")).select("key", *(F.col(c).alias(f"a_{c}") for c in ("h", "counts", "n")))
-    b = lines.select(*slim, probe_keys(F.col("line"), F.col("n"), edits, least).alias("keys")).select("h", "counts", "n", F.explode("keys").alias("key")).filter("key IS NOT NULL").select("key", *(F.col(c).alias(f"b_{c}") for c in ("h", "counts", "n")))
-    # lines of one length probe each other: one of the two finds is enough
-    once = (F.col("a_n") < F.col("b_n")) | (F.col("a_h") < F.col("b_h"))
-    pairs = b.join(a.hint("shuffle_hash"), "key").filter((F.col("a_h") != F.col("b_h")) & once & counts_near(F.col("a_counts"), F.col("b_counts"), edits))
-    pairs = cut(pairs.select("a_h", "b_h").distinct(), "line-pairs")
-    ids = cut(pairs.select(F.col("a_h").alias("h")).union(pairs.select("b_h")).distinct(), "line-ids")
-    need = cut(firsts.join(ids, "h", "left_semi"), "line-needs")
-    text = flagged_lines(with_flags(marked.select("doc_id", "mark", "text"), need, "inner"))
-    text = cut(text.select(F.xxhash64("line").alias("h"), place(F.col("doc_id"), F.col("mark"), F.col("pos")).alias("at"), "line").distinct(), "line-texts")
+def _compared(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """id and place of the later line of each of pairs(a, b) within edits edits."""
+    near = pairs.distinct()
+    for side in ("a", "b"):  # lengths and counts first: few pairs need their texts
+        near = near.join(texts.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts")), side)
+    near = near.filter((F.abs(F.col("a_n") - F.col("b_n")) <= edits) & counts_near(F.col("a_counts"), F.col("b_counts"), edits)).select("a", "b")
     for side in ("a", "b"):
-        pairs = pairs.join(text.select(*(F.col(c).alias(f"{side}_{c}") for c in ("h", "at", "line"))), f"{side}_h")
+        near = near.join(texts.select(F.col("id").alias(side), F.col("at").alias(f"{side}_at"), F.col("line").alias(f"{side}_line")), side)
     # a generated row keeps the trimmed lines from being made again for each use
     short_a, short_b = trimmed(F.col("a_line"), F.col("b_line"))
-    pairs = pairs.repartition(4 * marked.sparkSession.sparkContext.defaultParallelism)  # few bytes, much to compute
-    pairs = pairs.select("a_at", "b_at", F.inline(F.array(F.struct(chars(short_a).alias("x"), chars(short_b).alias("y")))))
-    pairs = pairs.select("a_at", "b_at", F.explode(F.array(within_edits(F.col("x"), F.col("y"), edits))).alias("near"))
-    near = pairs.filter("near").select(F.greatest("a_at", "b_at").alias("at")).distinct()
+    near = near.select("a", "b", "a_at", "b_at", F.inline(F.array(F.struct(chars(short_a).alias("x"), chars(short_b).alias("y")))))
+    near = near.select("a", "b", "a_at", "b_at", F.explode(F.array(within_edits(F.col("x"), F.col("y"), edits))).alias("near")).filter("near")
+    return near.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("a_at", "b_at").alias("at")).distinct()
+
+
+def near_lines(marked: DataFrame, firsts: DataFrame, buckets: int, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """d, mark, pos of first occurrences within `edits` edits of a distinct line that occurs earlier.
+
+    marked: documents with flags of their first occurrences; firsts: those with the ids of their lines.
+
+    Lines that share a key are pairs in groups of up to GROUP.  Larger groups are divided twice by what
+    classes of characters leave of their lines.  In those that are large still, each line is held
+    against the earliest one, and only lines not near it against the rest.
+    """
+    lines = flagged_lines(marked).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
+    shared = cut(shared_keys(segment_keys(lines, edits, least)), "line-keys")
+    large = shared.filter(F.col("size") > GROUP).select("key", "v")
+    pairs = cut(pairs_of(shared.filter(F.col("size") <= GROUP)).distinct(), "line-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select(_id(F.col("v")))).distinct()
+    text = flagged_lines(with_flags(marked.select("d", "mark", "text"), firsts.join(ids, "id", "left_semi"), "inner", buckets))
+    text = text.select(line_id(F.col("line")).alias("id"), place(F.col("d"), F.col("mark"), F.col("pos")).alias("at"), "line").distinct()
+    text = cut(text.withColumn("n", F.char_length("line")).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    near, used = [_compared(pairs, text, edits)], [shared, pairs, text]
+    for turn in (1, 2):
+        shared = cut(shared_keys(divided(large, text, edits, turn)), "line-keys")
+        used.append(shared)
+        large = shared.filter(F.col("size") > GROUP).select("key", "v")
+        near.append(_compared(pairs_of(shared.filter(F.col("size") <= GROUP)), text, edits))
+    placed = large.withColumn("id", _id(F.col("v"))).join(text.select("id", "at"), "id")
+    earliest = placed.groupBy("key").agg(F.min("at").alias("at")).join(placed, ["key", "at"]).select("key", "v")
+    tried = cut(_compared(pairs_of(large, earliest), text, edits), "line-tried")
+    left = placed.join(tried.select("id"), "id", "left_anti").select("key", "v")
+    near += [tried, _compared(pairs_of(left, large), text, edits)]
+    found = near[0]
+    for x in near[1:]:
+        found = found.union(x)
     pos, mark, doc = _unplace(F.col("at"))
-    return near.select(F.when(doc != LAST, doc).alias("doc_id"), mark.alias("mark"), pos.alias("pos"))
+    out = cut(found.select("at").distinct().select(doc.alias("d"), mark.alias("mark"), pos.alias("pos")), "line-near")
+    freed(*used, tried)
+    return out
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -206,14 +277,19 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     Rows of equal doc_id and text are one document and keep the same lines; rows of one doc_id and other texts
     are ordered by a hash of the text.  No row is left out; input columns named as added ones are replaced.
 
-    Texts are exchanged once, with the flags of their first lines; the table that this makes is
-    written, and read for the keys, for the texts of candidate pairs and for the result.
+    Texts are exchanged once, with the flags of their first lines, into a table of hash buckets; keys, the texts of
+    candidate pairs and the result are read from it without another exchange.  Where large groups stay large
+    after two divisions, lines not near their earliest one are compared with all of the group.
     """
     marks = carried(docs, "doc_id", "text").withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"))
+    marks = marks.withColumn("d", F.coalesce("doc_id", F.lit(LAST)).cast("long"))
     firsts = cut(first_lines(marks), "line-firsts")
-    marked = cut(with_flags(marks, firsts, "left"), "line-marked")
-    near = cut(near_lines(marked, firsts, edits, least), "line-near")
-    dropped = with_flags(marked.withColumnRenamed("flags", "first_flags"), near, "left")
+    spark = docs.sparkSession
+    buckets = min(parts_for(marks, "text", BUCKET_MB, spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    marked = cut_bucketed(with_flags(marks.repartition(buckets, "d", "mark"), firsts, "left", buckets), ["d", "mark"], buckets, "line-marked")
+    near = near_lines(marked, firsts, buckets, edits, least)
+    freed(firsts)
+    dropped = with_flags(marked.withColumnRenamed("flags", "first_flags"), near, "left", buckets)
     zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(F.coalesce("first_flags", F.lit("")), "").alias("first"), F.split(F.coalesce("flags", F.lit("")), "").alias("near"))
     kept = F.filter("line_all", lambda x: (F.trim(x["line"]) == "") | ((x["first"] == "1") & ~F.coalesce(x["near"] == "1", F.lit(False))))
     filled = lambda c: F.coalesce(F.size(F.filter(c, lambda x: F.trim(x["line"]) != "")), F.lit(0)).cast("long")
@@ -232,6 +308,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "n_near", F.col("line_text").alias("text"))
 
 
+#: Characters by whose counts the SQL passes over pairs.
+SQL_COUNTED = "enta"
 OP1_SQL = f"""
 WITH o AS (
   SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, lines[i] AS line
@@ -239,11 +317,11 @@ WITH o AS (
 ), f AS (
   SELECT line, min(row(doc_id, pos)) AS first FROM o WHERE trim(line) <> '' GROUP BY line
 ), u AS (SELECT line, first, length(line) AS n,
-  {", ".join(f"length(replace(line, '{c}', '')) AS c{i}" for i, c in enumerate(COUNTED))}
+  {", ".join(f"length(replace(line, '{c}', '')) AS c{i}" for i, c in enumerate(SQL_COUNTED))}
   FROM f WHERE length(line) >= {MIN_CHARS}),
 near AS (
   SELECT DISTINCT b.line FROM u a JOIN u b ON a.n BETWEEN b.n - {MAX_EDITS} AND b.n + {MAX_EDITS} AND a.first < b.first
-    AND {" AND ".join(f"abs(a.c{i} - b.c{i}) <= {2 * MAX_EDITS}" for i in range(len(COUNTED)))}
+    AND {" AND ".join(f"abs(a.c{i} - b.c{i}) <= {2 * MAX_EDITS}" for i in range(len(SQL_COUNTED)))}
   WHERE levenshtein(a.line, b.line) <= {MAX_EDITS}
 ), k AS (
   SELECT o.doc_id, o.pos, o.line, trim(o.line) = '' AS blank, n.line IS NOT NULL AND f.first = row(o.doc_id, o.pos) AS near,
