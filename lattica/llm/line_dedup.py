@@ -71,13 +71,15 @@ def segment_keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """
     parts = edits + 1
     probes = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in _probes(edits)))
-    x = lines.select(line_id(F.col("line")).alias("id"), "line", "n", F.explode(probes).alias("p"))
+    # where characters are bytes, a piece is found without counting characters
+    x = lines.select(line_id(F.col("line")).alias("id"), "line", F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary")).alias("raw"), "n", F.explode(probes).alias("p"))
     i, shorter = F.col("p.i"), F.col("n") - F.col("p.d")
     base, extra = F.floor(shorter / parts).cast("int"), shorter % parts
     at = (i - 1) * base + F.greatest(F.lit(0), i - 1 - parts + extra) + F.col("p.o")  # later segments are longer
-    x = x.select("id", "line", "n", i.alias("i"), shorter.alias("shorter"), at.alias("at"), (base + F.when(parts - i < extra, 1).otherwise(0)).alias("size"), ((F.col("p.d") == 0) & (F.col("p.o") == 0)).cast("long").alias("own"))
+    x = x.select("id", "line", "raw", "n", i.alias("i"), shorter.alias("shorter"), at.alias("at"), (base + F.when(parts - i < extra, 1).otherwise(0)).alias("size"), ((F.col("p.d") == 0) & (F.col("p.o") == 0)).cast("long").alias("own"))
     x = x.filter((F.col("shorter") >= least) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    return x.select(F.xxhash64("shorter", "i", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), (F.col("id") + F.col("own")).alias("v"))
+    piece = F.when(F.col("raw").isNotNull(), F.substring("raw", F.col("at") + 1, F.col("size"))).otherwise(F.substring("line", F.col("at") + 1, F.col("size")).cast("binary"))
+    return x.select(F.xxhash64("shorter", "i", piece).alias("key"), (F.col("id") + F.col("own")).alias("v"))
 
 
 def line_id(line: Column) -> Column:
@@ -101,19 +103,19 @@ def _id(v: Column) -> Column:
 
 
 def divided(rows: DataFrame, texts: DataFrame, edits: int, turn: int) -> DataFrame:
-    """key, v of large groups, with 2 * edits + 1 narrower keys for each row.
+    """key, v, n, counts of large groups, with 2 * edits + 1 narrower keys for each row.
 
     edits edits touch at most 2 * edits classes of characters, so two near lines have the same characters of
     some class in the same order; the new keys hold those.
     """
     kept = [F.struct(F.lit(c).alias("c"), F.regexp_replace("line", p, "").alias("kept")) for c, p in enumerate(classes(edits, turn))]
-    of = texts.select("id", F.transform(F.array(*kept), lambda x: F.xxhash64(x["c"], x["kept"])).alias("kept"))
+    of = texts.select("id", "n", "counts", F.transform(F.array(*kept), lambda x: F.xxhash64(x["c"], x["kept"])).alias("kept"))
     found = rows.select("key", "v", _id(F.col("v")).alias("id")).join(of, "id")
-    return found.select("key", "v", F.explode("kept").alias("kept")).select(F.xxhash64("key", "kept").alias("key"), "v")
+    return found.select("key", "v", "n", "counts", F.explode("kept").alias("kept")).select(F.xxhash64("key", "kept").alias("key"), "v", "n", "counts")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """key, v of rows(key, v) whose key is a line's own and has other lines too; and the size of the group.
+    """The rows(key, v, any others) whose key is a line's own and has other lines too; and the size of the group.
 
     The rows are exchanged once: the join reads the exchange that the sums have read.
     """
@@ -124,11 +126,17 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return dealt.join(groups.hint("shuffle_hash"), "key")
 
 
-def pairs_of(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """a, b (a < b) of each two lines of a group of which one's own segment is the key; with others, one of rows and one of others."""
-    x, y = (r.select("key", _id(F.col("v")).alias(n), _own(F.col("v")).alias(f"{n}_own")) for r, n in ((rows, "x"), (rows if others is None else others, "y")))
+def pairs_of(rows: DataFrame, edits: int, others: DataFrame | None = None) -> DataFrame:
+    """a, b (a < b) of each two lines of a group of which one's own segment is the key; with others, one of rows and one of others.
+
+    Where rows have n and counts, pairs that these show to be far apart are left out.
+    """
+    more = [c for c in ("n", "counts") if c in rows.columns]
+    side = lambda r, p: r.select("key", _id(F.col("v")).alias(p), _own(F.col("v")).alias(f"{p}_own"), *(F.col(c).alias(f"{p}_{c}") for c in more))
     found = F.col("x_own") == 1 if others is None else (F.col("x_own") == 1) | (F.col("y_own") == 1)
-    return x.join(y, "key").filter(found & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    near = (F.abs(F.col("x_n") - F.col("y_n")) <= edits) & counts_near(F.col("x_counts"), F.col("y_counts"), edits) if more else F.lit(True)
+    pairs = side(rows, "x").join(side(rows if others is None else others, "y"), "key").filter(found & (F.col("x") != F.col("y")) & near)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def chars(a: Column) -> Column:
@@ -241,29 +249,27 @@ def near_lines(marked: DataFrame, firsts: DataFrame, buckets: int, edits: int =
     """
     lines = flagged_lines(marked).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
     shared = cut(shared_keys(segment_keys(lines, edits, least)), "line-keys")
-    large = shared.filter(F.col("size") > GROUP).select("key", "v")
-    pairs = cut(pairs_of(shared.filter(F.col("size") <= GROUP)).distinct(), "line-pairs")
+    small, large = F.col("size") <= GROUP, shared.filter(F.col("size") > GROUP).drop("size")
+    pairs = cut(pairs_of(shared.filter(small), edits).distinct(), "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select(_id(F.col("v")))).distinct()
     text = flagged_lines(with_flags(marked.select("d", "mark", "text"), firsts.join(ids, "id", "left_semi"), "inner", buckets))
     text = text.select(line_id(F.col("line")).alias("id"), place(F.col("d"), F.col("mark"), F.col("pos")).alias("at"), "line").distinct()
     text = cut(text.withColumn("n", F.char_length("line")).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
-    near, used = [_compared(pairs, text, edits)], [shared, pairs, text]
-    for turn in (1, 2):
-        shared = cut(shared_keys(divided(large, text, edits, turn)), "line-keys")
-        used.append(shared)
-        large = shared.filter(F.col("size") > GROUP).select("key", "v")
-        near.append(_compared(pairs_of(shared.filter(F.col("size") <= GROUP)), text, edits))
-    placed = large.withColumn("id", _id(F.col("v"))).join(text.select("id", "at"), "id")
-    earliest = placed.groupBy("key").agg(F.min("at").alias("at")).join(placed, ["key", "at"]).select("key", "v")
-    tried = cut(_compared(pairs_of(large, earliest), text, edits), "line-tried")
-    left = placed.join(tried.select("id"), "id", "left_anti").select("key", "v")
-    near += [tried, _compared(pairs_of(left, large), text, edits)]
-    found = near[0]
-    for x in near[1:]:
-        found = found.union(x)
+    found, used = _compared(pairs, text, edits), [shared, pairs, text]
+    if not large.isEmpty():
+        for turn in (1, 2):
+            shared = cut(shared_keys(divided(large, text, edits, turn)), "line-keys")
+            used.append(shared)
+            found, large = found.union(_compared(pairs_of(shared.filter(small), edits), text, edits)), shared.filter(~small).drop("size")
+        placed = large.withColumn("id", _id(F.col("v"))).join(text.select("id", "at"), "id")
+        earliest = placed.groupBy("key").agg(F.min("at").alias("at")).join(placed, ["key", "at"]).select(large.columns)
+        tried = cut(_compared(pairs_of(large, edits, earliest), text, edits), "line-tried")
+        used.append(tried)
+        left = placed.join(tried.select("id"), "id", "left_anti").select(large.columns)
+        found = found.union(tried).union(_compared(pairs_of(left, edits, large), text, edits))
     pos, mark, doc = _unplace(F.col("at"))
     out = cut(found.select("at").distinct().select(doc.alias("d"), mark.alias("mark"), pos.alias("pos")), "line-near")
-    freed(*used, tried)
+    freed(*used)
     return out
 
 
