@@ -31,6 +31,7 @@ FULL = 400.0
 HOST_PRIOR, DOMAIN_PRIOR, SMOOTHING = 10.0, 20.0, 1.0
 #: A row is accepted if its language has this probability and its trigrams are not rarer than random ones.
 LEAST_PROBABILITY, LEAST_FIT = 0.5, -10.5
+VOTE_BYTES = 20
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
 
 
@@ -145,7 +146,12 @@ def identify(rows: DataFrame, languages: list[str], model: Model, text: str, dec
     accepted where the text has no characters but space; other evidence alone is not enough.  Otherwise
     accepted means: probability at least LEAST_PROBABILITY and mean ln likelihood of the text's
     trigrams at least LEAST_FIT.  Ties go to the language more frequent in the labelled texts.  Columns of rows stay as they are, but for those of
-    the added names, which are replaced.
+    the added names, which are replaced.  What hosts, suffixes and declared languages say is learned from all
+    texts of VOTE_BYTES bytes or more; shorter ones are identified like others, but their own language is too unsure to teach.
+
+    Texts are read twice and never written: once for the votes, once for the result.  Votes become one table of
+    what each (declared, host, domain, suffix) says, which is joined to the texts by one key; where Spark
+    can't broadcast it, a hot host is one skewed key of one join, which adaptive execution splits.
     """
     n = len(languages)
     found = {"_lid_" + k: c for k, c in (("declared", F.lower(declared)), ("host", F.lower(host)), ("domain", F.lower(domain)), ("suffix", F.lower(suffix)))}
@@ -156,11 +162,12 @@ def identify(rows: DataFrame, languages: list[str], model: Model, text: str, dec
         return uncarried(rows, columns, (), {"language": none, "probability": F.lit(0.0), "text_language": none, "accepted": F.lit(False)})
     names = F.array(*(F.lit(x) for x in languages))
     seen = rows.withColumn("_lid_text", text_evidence(rows.sparkSession, model, markup)(F.col("_lid_input"))).drop("_lid_input")
-    seen = cut(seen, "langid-evidence")
     size = F.element_at("_lid_text", 1)
     means = F.slice("_lid_text", 2, n)
-    votes = seen.filter(size >= 20).select(_argmax(means).alias("vote"), *marks)
+    votes = seen.select(F.when(size >= VOTE_BYTES, _argmax(means)).alias("vote"), *marks)
     votes = cut(votes.groupBy("vote", *marks).count(), "langid-votes")
+    said = votes.select(*marks).distinct()
+    votes = votes.filter("vote IS NOT NULL")
     votes = votes.withColumn("w", F.col("count").cast("double"))
     tally = lambda *keys: votes.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys) or "true").groupBy(*keys).agg(F.array(*(F.sum(F.when(F.col("vote") == i + 1, F.col("w")).otherwise(0.0)) for i in range(n))).alias("counts"))
     total = tally().first()
@@ -171,16 +178,19 @@ def identify(rows: DataFrame, languages: list[str], model: Model, text: str, dec
     suffixes = tally("_lid_suffix").select("_lid_suffix", F.zip_with(_distribution(F.col("counts"), prior, DOMAIN_PRIOR), prior, lambda p, q: F.log(p / q)).alias("_lid_sp"))
     spoken = [float(x) for x in whole + SMOOTHING]
     declared_p = tally("_lid_declared").select("_lid_declared", F.zip_with("counts", F.array(*(F.lit(x) for x in spoken)), lambda c, t: F.log((c + SMOOTHING * 0.1) / (t + SMOOTHING))).alias("_lid_lp"))
-    out = seen
-    for small, keys in ((cut(hosts, "langid-hosts"), ["_lid_host", "_lid_domain"]), (cut(suffixes, "langid-suffixes"), ["_lid_suffix"]), (cut(declared_p, "langid-declared"), ["_lid_declared"])):
-        out = out.join(small, keys, "left")
+    for small, keys in ((hosts, ["_lid_host", "_lid_domain"]), (suffixes, ["_lid_suffix"]), (declared_p, ["_lid_declared"])):
+        said = said.join(small, keys, "left")
     zero = F.array(*(F.lit(0.0) for _ in range(n)))
-    weight = size / (1 + size / FULL)
-    parts = [F.transform(means, lambda x: x * weight), F.transform(F.coalesce("_lid_hp", prior), lambda p: F.log(p)), F.coalesce("_lid_sp", zero), F.coalesce("_lid_lp", zero)]
-    score = parts[0]
+    parts = [F.transform(F.coalesce("_lid_hp", prior), lambda p: F.log(p)), F.coalesce("_lid_sp", zero), F.coalesce("_lid_lp", zero)]
+    other = parts[0]
     for p in parts[1:]:
-        score = F.zip_with(score, p, lambda a, b: a + b)
-    out = out.withColumn("_lid_score", score)
+        other = F.zip_with(other, p, lambda a, b: a + b)
+    # a hash names the four, so that nulls join like other values
+    key = F.xxhash64(*(x for k in marks for x in (F.col(k).isNull(), F.col(k)))).alias("_lid_key")
+    said = cut(said.select(key, other.alias("_lid_other")), "langid-said")
+    weight = size / (1 + size / FULL)
+    out = seen.withColumn("_lid_key", key).join(said, "_lid_key", "left")
+    out = out.withColumn("_lid_score", F.zip_with(F.transform(means, lambda x: x * weight), "_lid_other", lambda a, b: a + b))
     best = _argmax(F.col("_lid_score"))
     top = F.array_max("_lid_score")
     probability = 1 / F.aggregate("_lid_score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
