@@ -8,8 +8,8 @@ bytes and an end byte (0xFF); before it, end bytes are assumed.  Minus log2 of t
 
 Documents are dealt into blocks.  A block's distinct (DEPTH + 1)-grams, not its text, go to where
 grams are counted; after the trees are weighted, each block gets back the code lengths of its own
-grams, so no model is held whole anywhere and none is broadcast, but for the two upper levels, which have at most
-256 * 256 * 255 nodes.
+grams, so no model is held whole anywhere and none is broadcast, but for the levels of no and one context byte, which
+have at most 256 * 255 nodes of 40 bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, mix64, parts_for, table
+from lattica.llm.common import cut, freed, mix64, parts_for, table
 from lattica.llm.shingles import word_hashes
 
 DEPTH = 5
@@ -242,33 +242,55 @@ def _subtree(d: pd.DataFrame) -> tuple[np.ndarray, list[Level], list[np.ndarray]
     return grams, *tree_up(grams, n.astype(np.float64), DEPTH, 2)
 
 
-def _subtree_top(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-    top = _subtree(d)[1][-1]
-    return pd.DataFrame({"blob": [np.concatenate((top.keys.view("<f8"), top.n0, top.n1, top.weighted)).tobytes()]})
+def _packed(x: Level) -> bytes:
+    return np.concatenate((x.keys.view("<f8"), x.n0, x.n1, x.weighted)).tobytes()
 
 
-def _top_model(blobs: list[bytes]) -> Level:
-    """The level of two context bytes, with what shallower depths give it."""
+def _unpacked(blobs: list[bytes]) -> Level:
     parts = [np.frombuffer(b, "<f8").reshape(4, -1) for b in blobs]
     keys, n0, n1, weighted = (np.concatenate([p[i] for p in parts]) for i in range(4))
     keys = keys.view("<u8")
     order = np.argsort(keys)
-    two = Level(keys[order], n0[order], n1[order])
-    two.weighted = weighted[order]
-    one = two.up()
+    out = Level(keys[order], n0[order], n1[order])
+    out.weighted = weighted[order]
+    return out
+
+
+def _subtree_top(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of two context bytes, a row for each nearest byte."""
+    top = _subtree(d)[1][-1]
+    nearest = (top.keys >> np.uint64(56)).astype(np.int64)  # the nearest byte is the highest of a key
+    cuts = np.flatnonzero(np.diff(nearest)) + 1
+    parts = [Level(k, x, y) for k, x, y in zip(*(np.split(v, cuts) for v in (top.keys, top.n0, top.n1)), strict=True)] if len(nearest) else []
+    for part, w in zip(parts, np.split(top.weighted, cuts), strict=False):
+        part.weighted = w
+    return pd.DataFrame({"nearest": nearest[np.concatenate(([0], cuts)).astype(np.int64)] if parts else [], "blob": [_packed(x) for x in parts]})
+
+
+def _one_byte(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of one context byte: 255 at most, from 65280 at most."""
+    return pd.DataFrame({"blob": [_packed(_unpacked(d["blob"].tolist()).up())]})
+
+
+def _top_model(blobs: list[bytes]) -> Level:
+    """The level of one context byte, with what the one above gives it."""
+    one = _unpacked(blobs)
     none = one.up()
     none.down(None)
     one.down(none)
-    two.down(one)
-    return two
+    return one
+
+
+def _unpacked_top(x: tuple[bytes, np.ndarray, np.ndarray]) -> Level:
+    one = _unpacked([x[0]])
+    one.mixed, one.rest = x[1], x[2]
+    return one
 
 
 def _code_lengths(top, buckets: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        keys, mixed, rest = top.value
         grams, levels, at = _subtree(d)
-        place = np.searchsorted(keys, levels[-1].keys)
-        levels[-1].mixed, levels[-1].rest = mixed[place], rest[place]
+        levels[-1].down(_unpacked_top(top.value))
         return pd.DataFrame(_split(grams, code_lengths(grams, levels, at).astype("<f4"), _bucket(grams, buckets)), columns=["bucket", "blob"])
 
     return run
@@ -334,23 +356,23 @@ def score_texts(docs: DataFrame, held_out: F.Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2 if held_out is None else held_out
     blocks = parts_for(docs, "text", BLOCK_MB)
-    buckets = min(4096, max(8, blocks))
-    dealt = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    buckets = min(1 << 16, max(8, blocks))  # subtrees: one for each two context bytes at most
+    dealt = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     own = cut(dealt.groupBy("block").applyInPandas(_dictionary(buckets), "bucket int, block int, kind int, blob binary"), "ctw-dictionaries")
     words = cut(own.filter(F.col("kind") == WORDS).groupBy("bucket").applyInPandas(_merge_words, "block int, kind int, blob binary, tokens long, known long"), "ctw-words")
     grams = cut(own.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInPandas(_merge_grams(buckets), "sub int, blob binary"), "ctw-grams")
     total = words.agg(F.sum("tokens"), F.sum("known")).first()
     train_docs = docs.filter(~F.coalesce(held, F.lit(False))).count()
     tokens, distinct = (total[0] or 0) + train_docs, (total[1] or 0) + (train_docs > 0)
-    tops = [bytes(r[0]) for r in grams.groupBy("sub").applyInPandas(_subtree_top, "blob binary").toLocalIterator()]
-    if tops:
-        two = _top_model(tops)
-        top = spark.sparkContext.broadcast((two.keys, two.mixed, two.rest))
-    else:
-        top = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
+    two = grams.groupBy("sub").applyInPandas(_subtree_top, "nearest int, blob binary")
+    tops = [bytes(r[0]) for r in two.groupBy("nearest").applyInPandas(_one_byte, "blob binary").collect()]  # 256 rows at most
+    one = _top_model(tops) if tops else None
+    top = spark.sparkContext.broadcast((_packed(one), one.mixed, one.rest) if one else None)
     lengths = grams.groupBy("sub").applyInPandas(_code_lengths(top, buckets), "bucket int, blob binary").withColumnRenamed("blob", "lengths")
     routed = own.filter(F.col("kind") == GRAMS).select("bucket", "block", "blob").groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInPandas(_route, "block int, kind int, blob binary")
-    model = cut(words.select("block", "kind", "blob").unionByName(routed), "ctw-model").select("block", "kind", F.col("blob").alias("model"))
+    model = cut(words.select("block", "kind", "blob").unionByName(routed), "ctw-model")
+    freed(own, words, grams)
+    model = model.select("block", "kind", F.col("blob").alias("model"))
     return dealt.groupBy("block").cogroup(model.groupBy("block")).applyInPandas(_score(tokens, distinct, train_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
