@@ -212,10 +212,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, enc
 
     Returns the table of files as written to the shared folder: part, seq (their order), n_docs, n_ids,
     file.  A null text is an empty one; every document gets end_id after its ids.  Rows of one doc_id
-    are ordered by text.  tokenizer_path must be readable on every executor.  encode_special_tokens as for PieceEncoder.
+    are ordered by a hash of the text, so that they may lie in many parts.  tokenizer_path must be readable on every executor.  encode_special_tokens as for PieceEncoder.
     """
     n = parts_for(docs, "text", 16, 1)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    mark = F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
     return cut(ordered.mapInPandas(_write(tokenizer_path, end_id, encode_special_tokens), FILES), "token-files")
 
 
