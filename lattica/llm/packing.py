@@ -24,43 +24,55 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
     """The bin of each item (size, source, cluster; cluster -1: none), best fit in the order given.
 
     A bin takes at most per_source items of a source and one of a cluster.  buckets[r] has the bins with r
-    left, in order of their last change; bit r of filled is set while it has any.  The search starts
-    at the smallest r that holds the item and goes to the next larger one until a bin is compatible.
+    left; bit r of filled is set while it has any.  The search starts at the smallest r that holds the item
+    and goes to the next larger one until a bin is compatible; of those with r left, it takes the one that
+    changed least recently.  Inside a bucket, bins of the same full sources, and among them those of the
+    same clusters, are together, so that an item passes over all that are closed to it at once.
     """
-    buckets: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+    buckets: list[dict[int, dict[int, dict[int, int]]]] = [{} for _ in range(capacity + 1)]  # full sources, clusters, bin: time
     filled = 0
     planes: list[list[int]] = []  # plane i of a bin: sources that it has more than i times
     clusters: list[int] = []
     out = []
-    for size, source, cluster in items:
+    for now, (size, source, cluster) in enumerate(items):
         s, c = 1 << source, 1 << cluster if cluster >= 0 else 0
-        left, found = filled >> size, -1
+        left, found = filled >> size, None
         while left:
             r = size + (left & -left).bit_length() - 1
-            for b in buckets[r]:
-                if not planes[b][-1] & s and not clusters[b] & c:
-                    found = b
-                    break
-            if found >= 0:
+            for full, same in buckets[r].items():
+                if not full & s:
+                    for held, bins in same.items():
+                        if not held & c:
+                            b = next(iter(bins))
+                            if found is None or bins[b] < found[0]:
+                                found = bins[b], b
+            if found:
                 break
             left &= left - 1
-        if found < 0:
-            found, r = len(planes), capacity
+        if found is None:
+            b, r = len(planes), capacity
             planes.append([0] * per_source)
             clusters.append(0)
         else:
-            del buckets[r][found]
-            if not buckets[r]:
-                filled &= ~(1 << r)
-        own = planes[found]
+            b = found[1]
+            same = buckets[r][planes[b][-1]]
+            bins = same[clusters[b]]
+            del bins[b]
+            if not bins:
+                del same[clusters[b]]
+                if not same:
+                    del buckets[r][planes[b][-1]]
+                    if not buckets[r]:
+                        filled &= ~(1 << r)
+        own = planes[b]
         for i in range(per_source):
             if not own[i] & s:
                 own[i] |= s
                 break
-        clusters[found] |= c
-        buckets[r - size][found] = None
+        clusters[b] |= c
+        buckets[r - size].setdefault(own[-1], {}).setdefault(clusters[b], {})[b] = now
         filled |= 1 << (r - size)
-        out.append(found)
+        out.append(b)
     return out
 
 
