@@ -18,8 +18,8 @@ from lattica.llm.topk import usable
 #: Nodes of one shard's graph and queries of one search task.
 SHARD_NODES, TASK_QUERIES = 8192, 2048
 #: Out-degree, beam when building and when searching, pruning factors of the two building passes.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHAS = 32, 48, 96, (1.0, 1.2)
-BATCH = 512
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHAS = 32, 48, 192, (1.0, 1.2)
+BATCH = 256
 INDEXED = "shard long, node int, ids array<long>, v array<double>, start boolean, links array<int>"
 
 
@@ -67,8 +67,16 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
     candidates = np.sort(candidates, axis=1)
     bad = (candidates < 0) | (candidates == points[:, None])
     bad[:, 1:] |= candidates[:, 1:] == candidates[:, :-1]
+    # the good ones to the front, so that no column has bad ones only
+    by = np.argsort(bad, axis=1, kind="stable")[:, : max(1, int((~bad).sum(1).max(initial=0)))]
+    candidates, bad = np.take_along_axis(candidates, by, 1), np.take_along_axis(bad, by, 1)
     c = x[candidates]
-    d = np.where(bad, np.inf, np.maximum(0, np.square(c - x[points][:, None, :]).sum(2)))
+    own = np.square(c).sum(2)
+    d = own + np.square(x[points]).sum(1)[:, None] - 2 * np.matmul(c, x[points][:, :, None])[:, :, 0]
+    d = np.where(bad, np.inf, np.maximum(0, d))
+    # one product of all candidates gives every distance that strikes out another
+    between = own[:, :, None] + own[:, None, :] - 2 * np.matmul(c, c.transpose(0, 2, 1))
+    struck = alpha * alpha * np.maximum(0, between) <= d[:, None, :]
     left = d.copy()
     out = np.full((n, degree), -1)
     r = np.arange(n)
@@ -78,8 +86,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, alph
         if not live.any():
             break
         out[live, k] = candidates[r, best][live]
-        to_best = np.square(c - c[r, best][:, None, :]).sum(2)
-        left[alpha * alpha * to_best <= d] = np.inf
+        left[struck[r, best]] = np.inf
         left[r, best] = np.inf
     return out
 
