@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, freed
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = two_way.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", "m")).distinct()
-        stars = cut(small, "stars")
+        done, stars = stars, cut(small, "stars")
+        freed(done)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

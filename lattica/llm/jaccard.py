@@ -7,7 +7,8 @@
 3. What is left is linked by the shared shingles of its prefixes, rarest first: two sets that reach the overlap share one.
    The components of that are candidate clusters; no link crosses two.
 4. Inside a cluster, DivideSkip: merge the short inverted lists of a set, binary-probe the long ones for the
-   candidates that can still reach the overlap.  Clusters of more than CLUSTER classes are searched in blocks.
+   candidates that can still reach the overlap.  Clusters of more than CLUSTER classes or CLUSTER_SHINGLES shingles are
+   searched in blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, parts_for, table
+from lattica.llm.common import cut, freed, parts_for, table
 from lattica.llm.components import connected_components
 from lattica.llm.shingles import set_id, shingle_sets
 
@@ -28,8 +29,8 @@ from lattica.llm.shingles import set_id, shingle_sets
 EIGHTHS = 3
 #: Shingles of one counting task, about.
 BUCKET_ROWS = 3_000_000
-#: Classes that one search task takes; larger clusters are searched in blocks of BLOCK after PIVOTS.
-CLUSTER, BLOCK, PIVOTS = 4096, 2048, 16
+#: Classes and shingles that one search task takes; larger clusters are searched in blocks of half of either after PIVOTS.
+CLUSTER, CLUSTER_SHINGLES, PIVOTS = 1024, 4_000_000, 16
 #: Bytes of text hashed at once.
 CHUNK = 1 << 21
 SIGNED = "bucket int, doc_id long, text_hash long, n int, m int, cid long, blob binary"
@@ -257,12 +258,12 @@ def _cells(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _search_large(large: DataFrame, done: DataFrame) -> DataFrame:
-    """Links of clusters above CLUSTER: large has cluster, size, cid, n, blobs.
+    """Links of clusters above the bounds: large has cluster, size, shingles, cid, n, blobs.
 
     A few classes of each cluster, its pivots, are compared with all of it; then every class outside
-    the largest component that this makes is compared with every class, in cells of BLOCK by BLOCK.
+    the largest component that this makes is compared with every class, in cells of a block by a block.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(2 * F.col("size") / CLUSTER, 2 * F.col("shingles") / CLUSTER_SHINGLES)).cast("int")
     dealt = large.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     w = Window.partitionBy("cluster").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
     pivots = dealt.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= PIVOTS)
@@ -296,12 +297,17 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     shingles = parts_for(docs, "text", 6) * 1_000_000
     buckets = max(8, -(-shingles * EIGHTHS // 8 // BUCKET_ROWS))
     signed = cut(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInPandas(_sign(buckets), SIGNED), "jaccard-signed")
-    rows = signed.filter("bucket IS NULL").select("doc_id", "text_hash", "n", "m", "cid")
-    classes = cut(rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.min("doc_id").alias("rep")), "jaccard-classes")
+    rows = cut(signed.filter("bucket IS NULL").select("doc_id", "text_hash", "n", "m", "cid"), "jaccard-rows")
+    # one row of a class, by id and text, gives its text
+    one = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("mark")
+    classes = cut(rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.min("doc_id").alias("rep"), one), "jaccard-classes")
     shared = signed.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInPandas(_count_shared, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
-    active = classes.join(shared, "cid", "left").filter("m - coalesce(shared, 0) <= n div 4").select("cid", "n", "rep")
+    active = classes.join(shared, "cid", "left").filter("m - coalesce(shared, 0) <= n div 4").select("cid", "n", "rep", "mark")
     active = cut(active, "jaccard-active")
-    texts = docs.select("doc_id", "text").join(active.select("cid", "rep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    freed(signed)
+    named = [F.coalesce("rep", F.lit(0)).alias("_id"), F.col("rep").isNull().alias("_null"), "mark"]
+    texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), text_hash(F.col("text")).alias("mark"), "text")
+    texts = texts.join(active.select("cid", *named).hint("merge"), ["_id", "_null", "mark"]).dropDuplicates(["_id", "_null", "mark"]).select("cid", "text")
     full = max(8, -(-(active.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
     dealt = texts.mapInPandas(_all_shingles(full), "bucket int, blob binary")
     pieces = cut(dealt.groupBy("bucket").applyInPandas(_shared_shingles, "cid long, shared long, blob binary"), "jaccard-shared")
@@ -311,16 +317,19 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).filter("hub <> top")
     clusters = connected_components(keys.join(hubs, "key").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
     clusters = clusters.select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = cut(sets.join(clusters.join(sizes, "cluster"), "cid"), "jaccard-members")
-    links = cut(members.filter(F.col("size") <= CLUSTER).select("cluster", "cid", "n", "blobs").groupBy("cluster").applyInPandas(_search_cluster, "a long, b long"), "jaccard-links")
-    large = members.filter(F.col("size") > CLUSTER)
+    clusters = clusters.join(sets.select("cid", "n"), "cid")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    members = cut(sets.join(clusters.drop("n").join(sizes, "cluster"), "cid"), "jaccard-members")
+    small = (F.col("size") <= CLUSTER) & (F.col("shingles") <= CLUSTER_SHINGLES)
+    links = cut(members.filter(small).select("cluster", "cid", "n", "blobs").groupBy("cluster").applyInPandas(_search_cluster, "a long, b long"), "jaccard-links")
+    large = members.filter(~small)
     if not large.isEmpty():
         links = cut(_search_large(large, links), "jaccard-links")
     labels = connected_components(links)
     joined = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = cut(joined.join(smallest, "label").select("cid", "label", "component_id"), "jaccard-components")
+    freed(classes, active, pieces, sets, keys, members, links)
     out = rows.join(found, "cid", "left")
     return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label")
 

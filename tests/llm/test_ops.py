@@ -401,7 +401,6 @@ def components_by_hand(texts):
 @pytest.mark.parametrize("cluster", [4096, 3])
 def test_jaccard_brute_force(spark, monkeypatch, cluster):
     monkeypatch.setattr(jaccard, "CLUSTER", cluster)
-    monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
