@@ -1 +1,3 @@
-"""Registered queries and their SQL counterparts."""
+from lattica.plans import cluster_queries, queries
+
+__all__ = ["cluster_queries", "queries"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.text import anchor_token
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +39,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nodes() in the stored form: with subcategory and specificity (0) and anchor_token."""
+    n = nodes(spark, sf_dir)
+    return n.select("id", "surface_text", anchor_token(F.col("surface_text"), F.col("id")).alias("anchor_token"), "domain", "category", F.lit(0).alias("subcategory"), F.lit(0).alias("specificity"))
+
+
 def edges(spark: SparkSession, sf_dir: str, types: tuple[int, ...] = (1, 2, 4, 5, 6, 18)) -> DataFrame:
     """source_id, target_id, relation_type_id, weight, negated of the derived graph, of the types asked for."""
     t = lambda name: table(spark, sf_dir, name)
@@ -57,11 +65,11 @@ def edges(spark: SparkSession, sf_dir: str, types: tuple[int, ...] = (1, 2, 4, 5
         found.append(some(pairs.filter("r > 0"), 3000000 + c("l_suppkey"), 4000000 + c("l_partkey"), 5, c("r") / 4.0, True))
     if 1 in types:
         kinds = t("part").select("p_type").distinct().withColumn("n", F.expr("dense_rank() OVER (ORDER BY p_type)"))
-        found.append(some(t("part").join(F.broadcast(kinds), "p_type"), 4000000 + c("p_partkey"), 6000000 + c("n"), 1, F.lit(0.9)))
+        found.append(some(t("part").join(kinds, "p_type"), 4000000 + c("p_partkey"), 6000000 + c("n"), 1, F.lit(0.9)))
     if 4 in types:
         found.append(some(t("part"), 4000000 + c("p_partkey"), 7000000 + F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int"), 4, F.lit(0.3) + (c("p_size") % 50) / 100.0))
         seg = t("customer").select("c_mktsegment").distinct().withColumn("n", F.expr("dense_rank() OVER (ORDER BY c_mktsegment)"))
-        found.append(some(t("customer").join(F.broadcast(seg), "c_mktsegment"), 5000000 + c("c_custkey"), 8000000 + c("n"), 4, F.lit(0.8)))
+        found.append(some(t("customer").join(seg, "c_mktsegment"), 5000000 + c("c_custkey"), 8000000 + c("n"), 4, F.lit(0.8)))
     if 18 in types:
         want = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select("l_orderkey", "l_partkey", "l_quantity"), c("o_orderkey") == c("l_orderkey"))
         want = want.groupBy("o_custkey", "l_partkey").agg(F.sum(c("l_quantity").cast("double")).alias("q"))
