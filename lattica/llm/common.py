@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED).rstrip("/")
 
 
+#: Bytes that one batch between the JVM and Python holds, so that long texts don't add up in a worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand rows to Python in batches of BATCH_BYTES at most; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.  freed() deletes it."""
     spark = df.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.common import table
+from lattica.llm.common import small_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole content is never article text.
@@ -26,10 +27,13 @@ FURNITURE = frozenset(
     "footer header menu menubar masthead modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related "
     "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Elements that hold prose: in these, only a whole class name counts as a word of FURNITURE, and an id does not.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption b strong i em a span code".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An open p ends where one of these starts.
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 SPACE = re.compile(r"\s+")
+SUBSET_END = re.compile(r"\]\s*>")
 
 
 def _furniture(tag: str, attrs: list, in_main: bool) -> bool:
@@ -44,7 +48,10 @@ def _furniture(tag: str, attrs: list, in_main: bool) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and FURNITURE.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if tag in PROSE:
+            if name == "class" and FURNITURE.intersection(value.lower().split()):
+                return True
+        elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and FURNITURE.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
             return True
     return False
 
@@ -56,6 +63,9 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # element, whether its content is skipped, its number
         self.skipped = self.links = self.main = self.elements = 0
+        self.count: Counter[str] = Counter()  # open elements by name
+        self.blocks: list[tuple[int, str, int]] = []  # of the open ones: place in open, name, number
+        self.holders: list[int] = []  # numbers of the open CONTAINERS
         self.lines: list[list] = []
         self.now: list = [None, [], 0, 0]
 
@@ -69,31 +79,29 @@ class _Lines(HTMLParser):
 
         Blocks that hold text alone are of one kind, but for containers, which are of their own name's.
         """
-        tags = [x[0] for x in self.open]
-        kind, at = "text", len(tags) - 1
-        while at >= 0 and tags[at] not in BLOCK:
-            at -= 1
-        if at >= 0 and tags[at] in ("div", "section", "center"):
-            kind, at = tags[at], at - 1
-        while at >= 0 and tags[at] not in CONTAINERS:
-            at -= 1
-        return self.open[at][2] if at >= 0 else 0, kind, self.main > 0
+        kind, holders = "text", self.holders
+        if self.blocks and self.blocks[-1][1] in ("div", "section", "center"):
+            kind, holders = self.blocks[-1][1], holders[:-1] if len(holders) < 2 else holders[-2:-1]
+        return holders[-1] if holders else 0, kind, self.main > 0
 
     def pop(self) -> str:
         tag, skipped, _ = self.open.pop()
         self.skipped -= skipped
         self.links -= tag == "a"
+        self.count[tag] -= 1
         if tag in BLOCK:
+            self.blocks.pop()
+            if tag in CONTAINERS:
+                self.holders.pop()
             self.flush()
         self.main -= tag in MAIN
         return tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ENDS_P and any(x[0] == "p" for x in self.open[-8:]):
-            at = max(i for i, x in enumerate(self.open) if x[0] == "p")
-            if all(x[0] not in BLOCK for x in self.open[at + 1 :]):
-                while len(self.open) > at:
-                    self.pop()
+        if tag in ENDS_P and self.blocks and self.blocks[-1][1] == "p":
+            at = self.blocks[-1][0]
+            while len(self.open) > at:
+                self.pop()
         if tag in BLOCK:
             self.flush()
         elif tag == "br":
@@ -104,10 +112,28 @@ class _Lines(HTMLParser):
         skip = _furniture(tag, attrs, self.main > 0)
         self.main += tag in MAIN
         self.elements += 1
+        self.count[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append((len(self.open), tag, self.elements))
+            if tag in CONTAINERS:
+                self.holders.append(self.elements)
         self.open.append((tag, skip, self.elements))
         self.skipped += skip
         self.links += tag == "a"
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The end of a marked section: a CDATA section's own, any other's next >; -1 for none."""
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        at = self.rawdata.find(end, i)
+        return at + len(end) if at >= 0 else -1
+
+    def parse_html_declaration(self, i: int) -> int:
+        """As usual, but a document type may have declarations of its own in brackets."""
+        inner, end = self.rawdata.find("[", i), self.rawdata.find(">", i)
+        if self.rawdata[i : i + 9].lower() == "<!doctype" and 0 <= inner < end and (m := SUBSET_END.search(self.rawdata, inner)):
+            return m.end()
+        return super().parse_html_declaration(i)
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -115,7 +141,7 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.now[2] += 1
-        if any(x[0] == tag for x in self.open):
+        if self.count[tag]:
             while self.pop() != tag:
                 pass
         elif tag in BLOCK:
@@ -138,7 +164,7 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def extract(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
-    """The main text of one page; empty for null, empty or text-free pages.
+    """The main text of one page; empty for null, empty or text-free pages.  Malformed markup is passed over, never an error.
 
     Lines are the blocks that the parser's events mark off.  A line's ratio is its characters outside
     links over its tags.  Ratios are smoothed along the page; a line is strong when its smoothed ratio reaches
@@ -173,8 +199,10 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of each row of pages(page_id, url, html): page_id, url, text, n_chars (code points).
 
-    One row out for each row in, repeated or null ids too; null html gives an empty text.
+    One row out for each row in, repeated or null ids too; null html gives an empty text.  Other columns are left out; an
+    empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInPandas(_pages, "page_id long, url string, text string, n_chars long")
 
 
