@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, freed, mix64, parts_for, table
+from lattica.llm.common import cut, freed, mix64, parts_for, small_batches, table
 from lattica.llm.shingles import word_hashes
 
 DEPTH = 5
@@ -354,6 +354,7 @@ def score_texts(docs: DataFrame, held_out: F.Column | None = None) -> DataFrame:
     An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2 if held_out is None else held_out
     blocks = parts_for(docs, "text", BLOCK_MB)
     buckets = min(1 << 16, max(8, blocks))  # subtrees: one for each two context bytes at most

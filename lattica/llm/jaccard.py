@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, freed, parts_for, table
+from lattica.llm.common import cut, freed, parts_for, small_batches, table
 from lattica.llm.components import connected_components
 from lattica.llm.shingles import set_id, shingle_sets
 
 #: Share of the hash space that the first count looks at, in eighths.
 EIGHTHS = 3
 #: Shingles of one counting task, about.
-BUCKET_ROWS = 3_000_000
+BUCKET_ROWS = 1_500_000
 #: Classes and shingles that one search task takes; larger clusters are searched in blocks of half of either after PIVOTS.
 CLUSTER, CLUSTER_SHINGLES, PIVOTS = 1024, 4_000_000, 16
 #: Bytes of text hashed at once.
@@ -294,6 +294,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def jaccard_rows(docs: DataFrame) -> DataFrame:
     """jaccard_components() with two more columns: text_hash, which is text_hash() of the row's text, and label, the
     component's own name, null for a row without shingles; doc_ids don't tell components apart where they repeat."""
+    small_batches(docs.sparkSession)
     shingles = parts_for(docs, "text", 6) * 1_000_000
     buckets = max(8, -(-shingles * EIGHTHS // 8 // BUCKET_ROWS))
     signed = cut(docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInPandas(_sign(buckets), SIGNED), "jaccard-signed")

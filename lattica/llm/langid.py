@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, table, uncarried
+from lattica.llm.common import cut, small_batches, table, uncarried
 
 #: The classifier is fitted on about so many labelled texts of each language, by a seeded hash, and on every
 #: language; rows to identify have no such bound.
@@ -153,6 +153,7 @@ def identify(rows: DataFrame, languages: list[str], model: Model, text: str, dec
     what each (declared, host, domain, suffix) says, which is joined to the texts by one key; where Spark
     can't broadcast it, a hot host is one skewed key of one join, which adaptive execution splits.
     """
+    small_batches(rows.sparkSession)
     n = len(languages)
     found = {"_lid_" + k: c for k, c in (("declared", F.lower(declared)), ("host", F.lower(host)), ("domain", F.lower(domain)), ("suffix", F.lower(suffix)))}
     columns, marks = rows.columns, list(found)

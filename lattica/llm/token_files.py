@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, parts_for, table
+from lattica.llm.common import cut, parts_for, small_batches, table
 
 RANK_BITS = 512
 #: A file is closed once it has this many ids.
@@ -214,6 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, enc
     file.  A null text is an empty one; every document gets end_id after its ids.  Rows of one doc_id
     are ordered by a hash of the text, so that they may lie in many parts.  tokenizer_path must be readable on every executor.  encode_special_tokens as for PieceEncoder.
     """
+    small_batches(docs.sparkSession)
     n = parts_for(docs, "text", 16, 1)
     mark = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
