@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lattica.shared import cut
 
 
+#: Edges of a graph that is worked on as one row.
+FOLDED = 64
+
+
 def of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
     return edges.filter(F.col("rel_type").isin(types)) if types else edges
 
@@ -24,12 +28,26 @@ def first_edges(edges: DataFrame, *by: str) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, least: float | None = None) -> DataFrame:
     """graph_id, start, node: all that paths of edges of the types, of weight least or more, lead to from start.
 
-    The start itself is left out, also where a cycle leads back.  Each round joins only the last round's new
+    The start itself is left out, also where a cycle leads back.  Graphs of up to FOLDED distinct edges are one row each,
+    whose closure is taken without a join.  For larger ones, each round joins only the last round's new
     nodes; the rounds end when there are none, so their number is the longest shortest path.
     """
     e = of_types(edges, types)
-    e = cut((e.filter(F.col("weight") >= least) if least is not None else e).select("graph_id", "src", "tgt").distinct())
-    found = cut(starts.select("graph_id", "start", F.col("start").alias("node")).distinct())
+    e = (e.filter(F.col("weight") >= least) if least is not None else e).select("graph_id", "src", "tgt").distinct()
+    e = cut(e.join(e.groupBy("graph_id").agg(F.count("*").alias("_size")), "graph_id"))
+    starts = starts.select("graph_id", "start").distinct()
+    folded = e.filter(F.col("_size") <= FOLDED).groupBy("graph_id").agg(F.collect_list(F.struct("src", "tgt")).alias("pairs"))
+    step = lambda seen, _: F.array_union(seen, F.transform(F.filter("pairs", lambda p: F.array_contains(seen, p["src"])), lambda p: p["tgt"]))
+    rounds = F.sequence(F.lit(1), F.size(F.array_distinct(F.transform("pairs", lambda p: p["src"]))))
+    small = starts.join(folded, "graph_id").select("graph_id", "start", F.explode(F.aggregate(rounds, F.array("start"), step)).alias("node")).filter("node <> start")
+    large = e.filter(F.col("_size") > FOLDED).drop("_size")
+    return small if large.isEmpty() else small.unionByName(_spread(large, starts))
+
+
+def _spread(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """reachable() round by round, for distinct edges e and distinct starts."""
+    e = cut(e)
+    found = cut(starts.join(e.select("graph_id").distinct(), "graph_id", "left_semi").select("graph_id", "start", F.col("start").alias("node")))
     frontier = found
     while not frontier.isEmpty():
         step = frontier.join(e, (frontier["graph_id"] == e["graph_id"]) & (frontier["node"] == e["src"])).select(frontier["graph_id"], "start", F.col("tgt").alias("node")).distinct()

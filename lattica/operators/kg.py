@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.schemas import RELATION_TYPES
+from lattica.shared import numbered
 
 
 def relation_types(spark: SparkSession) -> DataFrame:
@@ -101,17 +102,22 @@ def type_combinations(edges: DataFrame, least: float = 0.3, per_type: int = 3, m
 def missing_pairs(subjects: DataFrame, objects: DataFrame, edges: DataFrame, per_subject: int, seed: int = 0) -> DataFrame:
     """subject, object pairs that no edge has: per_subject seeded picks for each subject, then an anti-join.
 
-    objects is a small dimension; its rows are numbered and each subject picks numbers by an arithmetic
-    hash, so no cross product is made.
+    Distinct objects are numbered and each subject picks numbers by an arithmetic hash, so no cross product is made.
     """
-    numbered = objects.select("object").distinct().withColumn("n", F.row_number().over(Window.orderBy("object")) - 1)
-    count = numbered.count()
+    places = numbered(objects.select("object").distinct(), F.col("object"))
+    count = places.count()
     if not count:
         return subjects.select("subject", F.lit(None).cast("long").alias("object")).limit(0)
     picks = subjects.select("subject", F.explode(F.sequence(F.lit(0), F.lit(per_subject - 1))).alias("i"))
     picks = picks.withColumn("n", F.pmod(hashed(F.col("subject") + F.col("i") * 7919, seed), F.lit(count)))
     known = edges.select(F.col("source_id").alias("subject"), F.col("target_id").alias("object")).distinct()
-    return picks.join(numbered, "n").select("subject", "object").distinct().join(known, ["subject", "object"], "left_anti")
+    return picks.join(places, "n").select("subject", "object").distinct().join(known, ["subject", "object"], "left_anti")
+
+
+def same_group(nodes: DataFrame, *by: str) -> DataFrame:
+    """nodes with n_partners: how many others are in the same group.  The pairs themselves are the group's members with each other."""
+    sizes = nodes.groupBy(*by).agg(F.count("*").alias("_n"))
+    return nodes.join(sizes, list(by)).withColumn("n_partners", F.col("_n") - 1).drop("_n")
 
 
 def hashed(key: Column, seed: int) -> Column:
@@ -125,12 +131,13 @@ def first_ordinals(pairs: DataFrame, cap: int | None = None) -> DataFrame:
     With cap, later texts get no ordinal.  Only the distinct texts are ordered.
     """
     at = pairs.select(F.posexplode(F.array("source", "target")).alias("side", "text"), "row").groupBy("text").agg(F.min(F.col("row") * 2 + F.col("side")).alias("at"))
-    out = at.withColumn("ordinal", F.row_number().over(Window.orderBy("at")))
+    out = numbered(at, F.col("at")).withColumn("ordinal", (F.col("n") + 1).cast("int"))
     return (out.filter(F.col("ordinal") <= cap) if cap else out).select("text", "ordinal")
 
 
 def admitted(rows: DataFrame, quality: str, order: str, total: int) -> DataFrame:
-    """Rows by quality in order: rich without limit, thin up to max(5, 20%), unknown up to max(1, 5%)."""
-    w = Window.partitionBy(quality).orderBy(order)
-    budget = F.when(F.col(quality) == "rich", F.lit(1 << 62)).when(F.col(quality) == "thin", F.lit(max(5, int(total * 0.2)))).otherwise(F.lit(max(1, int(total * 0.05))))
-    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= budget)
+    """Rows by quality in order: rich without limit, thin up to max(5, 20%), unknown up to max(1, 5%).  Equal places in the order are dealt as they come."""
+    rest = numbered(rows.filter(F.col(quality) != "rich"), F.col(quality), F.col(order))
+    rest = rest.join(rest.groupBy(quality).agg(F.min("n").alias("_first")), quality).withColumn("nth", F.col("n") - F.col("_first") + 1)
+    budget = F.when(F.col(quality) == "thin", F.lit(max(5, int(total * 0.2)))).otherwise(F.lit(max(1, int(total * 0.05))))
+    return rows.filter(F.col(quality) == "rich").unionByName(rest.filter(F.col("nth") <= budget).select(*rows.columns))

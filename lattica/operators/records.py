@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.codec import block_of, parse_entities, parse_relations
 from lattica.operators.kg import hashed
+from lattica.shared import numbered
 
 
 def v1_errors(records: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def split(records: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> D
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """rows with place, their rank in a seeded order."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(hashed(F.col(key), seed), key)))
+    """rows with place, their rank (from 1) in a seeded order."""
+    return numbered(rows, hashed(F.col(key), seed), F.col(key), name="place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def quota_sample(pool: DataFrame, shares: DataFrame, n: int, seed: int) -> DataFrame:
@@ -62,7 +63,7 @@ def quota_sample(pool: DataFrame, shares: DataFrame, n: int, seed: int) -> DataF
     shares: category, share.  Returns category, key, nth (1 to n); the pool repeats when it has fewer than n rows.
     """
     h = hashed(F.col("key"), seed)
-    r = pool.join(F.broadcast(shares), "category").withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(h, "key")))
+    r = pool.join(shares, "category").withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(h, "key")))
     r = r.withColumn("target", F.greatest(F.lit(1), F.floor(F.col("share") * n).cast("int"))).withColumn("over", (F.col("r") > F.col("target")).cast("int"))
     first = r.orderBy("over", h, "category", "key").limit(n).select("category", "key", F.row_number().over(Window.orderBy("over", h, "category", "key")).alias("nth"))
     size = first.count()
@@ -87,9 +88,9 @@ def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
 def fill_templates(pairs: DataFrame, templates: DataFrame) -> DataFrame:
     """Every pair in every template of its kind: pairs(kind, source, target), templates(kind, template); {source} and {target} are filled.
 
-    Templates are a hand-written dimension, so they are broadcast.
+    Templates are few, so Spark broadcasts them.
     """
-    j = pairs.join(F.broadcast(templates), "kind")
+    j = pairs.join(templates, "kind")
     return j.select("kind", "source", "target", F.replace(F.replace("template", F.lit("{source}"), F.col("source")), F.lit("{target}"), F.col("target")).alias("prompt")).distinct()
 
 

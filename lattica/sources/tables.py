@@ -61,8 +61,10 @@ def edges(spark: SparkSession, sf_dir: str, types: tuple[int, ...] = (1, 2, 4, 5
         found.append(some(t("customer"), 5000000 + c("c_custkey"), 2000000 + c("c_nationkey"), 6, F.lit(0.5) + (c("c_custkey") % 50) / 100.0))
     if 5 in types:
         pairs = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), F.sum(F.when(c("l_returnflag") == "R", 1).otherwise(0)).alias("r"))
-        found.append(some(pairs, 3000000 + c("l_suppkey"), 4000000 + c("l_partkey"), 5, F.least(F.lit(1.0), c("n") / 4.0)))
-        found.append(some(pairs.filter("r > 0"), 3000000 + c("l_suppkey"), 4000000 + c("l_partkey"), 5, c("r") / 4.0, True))
+        # one grouping gives both signs
+        signs = F.array(F.struct(F.least(F.lit(1.0), c("n") / 4.0).alias("w"), F.lit(False).alias("negated")), F.when(c("r") > 0, F.struct((c("r") / 4.0).alias("w"), F.lit(True).alias("negated"))))
+        signed = pairs.select("l_suppkey", "l_partkey", F.inline(F.array_compact(signs)))
+        found.append(signed.select((3000000 + c("l_suppkey")).cast("long").alias("source_id"), (4000000 + c("l_partkey")).cast("long").alias("target_id"), F.lit(5).alias("relation_type_id"), c("w").alias("weight"), "negated"))
     if 1 in types:
         kinds = t("part").select("p_type").distinct().withColumn("n", F.expr("dense_rank() OVER (ORDER BY p_type)"))
         found.append(some(t("part").join(kinds, "p_type"), 4000000 + c("p_partkey"), 6000000 + c("n"), 1, F.lit(0.9)))
