@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def released() -> None:
+    """Give memory that a worker has freed back to the system: workers wait for other tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.  freed() deletes it."""
     spark = df.sparkSession

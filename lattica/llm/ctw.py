@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, freed, mix64, parts_for, small_batches, table
+from lattica.llm.common import cut, freed, mix64, parts_for, released, small_batches, table
 from lattica.llm.shingles import word_hashes
 
 DEPTH = 5

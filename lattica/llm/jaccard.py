@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, freed, parts_for, small_batches, table
+from lattica.llm.common import cut, freed, parts_for, released, small_batches, table
 from lattica.llm.components import connected_components
 from lattica.llm.shingles import set_id, shingle_sets
 
@@ -104,6 +104,7 @@ def _sign(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             for f in (docs, packed):
                 if f is not None and len(f):
                     yield f.reindex(columns=["bucket", "doc_id", "text_hash", "n", "m", "cid", "blob"]).astype({c: "Int64" for c in ("bucket", "doc_id", "text_hash", "n", "m", "cid")})
+        released()
 
     return run
 
@@ -124,6 +125,8 @@ def _count_shared(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
     # a copy met in several batches counts once
     rows = pd.DataFrame({"cid": cids[np.repeat(many, sizes)], "h": hashes[np.repeat(many, sizes)]}).drop_duplicates()
     out = rows.groupby("cid").size()
+    del hashes, cids, starts, many, rows
+    released()
     return pd.DataFrame({"cid": out.index, "shared": out.to_numpy()})
 
 
@@ -138,6 +141,7 @@ def _all_shingles(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
                         owner.append(np.full(len(s), at + i, np.uint32))
             if hashes:
                 yield _blobs(np.concatenate(hashes), np.concatenate(owner), want.astype("<i8"), buckets)
+        released()
 
     return run
 
@@ -155,6 +159,8 @@ def _shared_shingles(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
     h, f = np.split(rows["h"].to_numpy(), cuts), np.split(rows["f"].to_numpy().astype("<u4"), cuts)
     if not len(c):
         return pd.DataFrame({"cid": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64), "blob": []})
+    del hashes, cids, starts, many, keep, rows
+    released()
     return pd.DataFrame({"cid": c[np.concatenate(([0], cuts))], "shared": [len(x) for x in h], "blob": [x.tobytes() + y.tobytes() for x, y in zip(h, f, strict=True)]})
 
 
@@ -239,7 +245,10 @@ def _links(links: list[tuple[int, int]], a: pd.Series, b: pd.Series) -> pd.DataF
 def _search_cluster(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
     d = d.sort_values(["n", "cid"])
     s, n = _prefix(d)[0], d["n"].to_numpy()
-    return _links(divide_skip(s, n, s, n, True), d["cid"], d["cid"])
+    out = _links(divide_skip(s, n, s, n, True), d["cid"], d["cid"])
+    del s, d
+    released()
+    return out
 
 
 def _search_cell(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

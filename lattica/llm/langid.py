@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut, small_batches, table, uncarried
+from lattica.llm.common import cut, released, small_batches, table, uncarried
 
 #: The classifier is fitted on about so many labelled texts of each language, by a seeded hash, and on every
 #: language; rows to identify have no such bound.
@@ -66,6 +66,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 sums[language] = np.zeros(SLOTS, np.int64)
             sums[language] += np.bincount(trigrams([_bytes(text, False)])[0], minlength=SLOTS)
     yield from counted()
+    released()
 
 
 #: For each language: slots of the trigrams that its texts have, their ln probabilities, and that of all others.
@@ -125,6 +126,7 @@ def text_evidence(spark: SparkSession, model: Model, markup: bool) -> Callable:
             if held:
                 flush()
             yield pd.Series(out)
+        released()
 
     return evidence
 
