@@ -28,11 +28,11 @@ from lattica.llm.shingles import set_id, shingle_sets
 #: Share of the hash space that the first count looks at, in eighths.
 EIGHTHS = 3
 #: Shingles of one counting task, about.
-BUCKET_ROWS = 1_500_000
+BUCKET_ROWS = 3_000_000
 #: Classes and shingles that one search task takes; larger clusters are searched in blocks of half of either after PIVOTS.
 CLUSTER, CLUSTER_SHINGLES, PIVOTS = 1024, 4_000_000, 16
 #: Bytes of text hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SIGNED = "bucket int, doc_id long, text_hash long, n int, m int, cid long, blob binary"
 
 
