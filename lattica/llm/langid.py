@@ -24,7 +24,7 @@ FIT_TEXTS = 1000
 #: Languages whose counts a fitting task holds before it hands them on.
 HELD_LANGUAGES = 64
 SLOTS = 1 << 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Text evidence counts as that of n / (1 + n / FULL) trigrams: neighbours in a text are not independent.
 FULL = 400.0
 #: Prior rows that a host takes from its domain and a domain from all rows; smoothing of the other tables.

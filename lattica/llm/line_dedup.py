@@ -16,7 +16,7 @@ COUNTS = 8
 #: Lines that share a key are all compared up to this number; larger groups are divided first.
 GROUP = 64
 #: Megabytes of text in one bucket of the table of marked texts.
-BUCKET_MB = 64
+BUCKET_MB = 24
 #: Place of a line: document id, a mark of its text, line number; documents without an id come last.
 LAST = 2**63 - 1
 
