@@ -76,6 +76,32 @@ def test_line_dedup_brute_force(spark):
     assert got["line_text"].tolist() == lines_by_hand(texts, 2, 6)
 
 
+def test_near_lines_of_large_groups(spark, monkeypatch):
+    """Families of lines that share most of their text: near ones, and ones with a word changed."""
+    monkeypatch.setattr(line_dedup, "GROUP", 3)
+    rng = random.Random(5)
+    lines = []
+    for _ in range(3):
+        base = "".join(rng.choice("abcdefgh tu") for _ in range(48)).strip().ljust(40, "z")
+        for _ in range(25):
+            at = rng.randrange(0, 36)
+            lines.append(base[:at] + (rng.choice("xyz") if rng.random() < 0.5 else "".join(rng.choice("qrstuv") for _ in range(5))) + base[at + rng.choice((1, 2)) :])
+    lines += [f"page number {n:06d} of the long catalogue" for n in rng.sample(range(10**6), 30)]
+    rng.shuffle(lines)
+    d = docs(spark, *("\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)))
+    got = {r["doc_id"]: r["line_text"] for r in line_dedup.dedup_lines(d).collect()}
+    seen, want = [], {}
+    for i in range(0, len(lines), 7):
+        kept = []
+        for x in lines[i : i + 7]:
+            if x not in seen:
+                if not any(abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= 2 for y in seen):
+                    kept.append(x)
+                seen.append(x)
+        want[i // 7] = "\n".join(kept)
+    assert got == want
+
+
 def test_line_dedup_edges(spark):
     d = spark.createDataFrame([(None, "only here\nshared line", 1, "m"), (1, None, 2, "m"), (2, "shared line", 3, "m"), (2, "shared line", 3, "m"), (2, "other text", 4, "m"), (3, "x" * 200_000, 5, "m")], "doc_id long, text string, flags int, mark_ string")
     got = line_dedup.dedup_lines(d).toPandas()
@@ -116,6 +142,22 @@ def test_html_regions_are_chosen_on_every_page():
     assert html_text.extract(f"<body><p>{long}</p>" + "<p>Yes.</p>" * 9 + f"<p>{long}</p></body>").count("Yes.") == 9
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a long first paragraph</p><![foo[bar]]><p>and a long second one</p>", "a long first paragraph\nand a long second one"),
+        ("<!DOCTYPE html [<!ENTITY x 'y'>]><p>hello world this is text</p>", "hello world this is text"),
+        ("<![CDATA[ a > b ]]><p>hello world this is text</p>", "hello world this is text"),
+        ("<article><p class='related-work'>earlier work is long and good</p><p id='skip'>the next part is too</p></article>", "earlier work is long and good\nthe next part is too"),
+        ("<![ x", None),
+        ("<b>" * 20000 + "<p>deep down is some text</p>", "deep down is some text"),
+    ],
+)
+def test_html_that_is_malformed(html, text):
+    got = html_text.extract(html)
+    assert text is None or got == text
+
+
 def test_html_rows(spark):
     p = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>é</p>")], "page_id long, url string, html string")
     got = html_text.extract_pages(p).collect()
@@ -454,6 +496,16 @@ def best_fit_by_hand(items, capacity, per_source):
     return out, bins
 
 
+def test_best_fit_passes_over_closed_bins():
+    """Many items of one source, or of one cluster, are packed without looking at every bin."""
+    import time
+
+    for items in ([(100, 0, -1)] * 16384, [(100, i, 0) for i in range(16384)]):
+        began = time.time()
+        bins = packing.best_fit(items, 4096, 2)
+        assert max(collections.Counter(bins).values()) <= 2 and time.time() - began < 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 3), st.integers(-1, 4)), max_size=40), st.integers(1, 3))
 def test_best_fit_is_tightest(items, per_source):
