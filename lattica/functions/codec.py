@@ -109,7 +109,7 @@ def parse_relations(block: Column) -> Column:
     return F.transform(_slots(block, "R"), one)
 
 
-# The strict grammar: digits and plain decimals only.
+# The strict grammar, of digits and plain decimals only.
 STRICT_ENTITY = r"E\((\d+)\|(\d+)\|(\d+)\|(\d+)\|([^|]+)\|([^|]+)\|(\d+)\|([0-9.]+)\)"
 STRICT_RELATION = r"R\(([A-Za-z_]+)\|(\d+)\|(\d+)\|([0-9.]+)\|(\d+)\|(\d+)\)"
 

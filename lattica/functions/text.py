@@ -11,27 +11,33 @@ from lattica.functions.codec import block_of, lookup, parse_entities, parse_rela
 
 # Words never looked up as concepts.
 STOP_WORDS = (
-    "a an the is are was were be been being do does did have has had can could will would shall should may might must "
-    "what which who whom where when why how you your i me my we our he she it they them their this that these those "
-    "not no nor and or but if then so of in on at to for with by from up about into through during before after "
-    "above below between out off over under again further too very just also now there here all each every both few more "
-    "most other some such only own same"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had", "can", "could", "will", "would",
+    "shall", "should", "may", "might", "must", "what", "which", "who", "whom", "where", "when", "why", "how", "you", "your", "i", "me", "my", "we", "our",
+    "he", "she", "it", "they", "them", "their", "this", "that", "these", "those", "not", "no", "nor", "and", "or", "but", "if", "then", "so", "of", "in",
+    "on", "at", "to", "for", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after", "above", "below", "between", "out",
+    "off", "over", "under", "again", "further", "too", "very", "just", "also", "now", "there", "here", "all", "each", "every", "both", "few", "more",
+    "most", "other", "some", "such", "only", "own", "same",
+)
 # Property categories and their seed words.
 PROPERTY_SEEDS = {
-    1: "red blue green yellow brown white black orange purple pink gray grey golden silver crimson scarlet violet maroon turquoise beige tan ivory indigo magenta teal colorful colourful multicolored",
-    2: "big small tall deep large tiny huge short narrow wide vast little enormous giant massive miniature petite compact immense thick thin",
-    3: "hot cold warm cool freezing boiling chilly icy lukewarm tepid scorching",
-    4: "fast slow quick rapid swift speedy sluggish",
-    5: "old new young ancient modern fresh elderly youthful aged juvenile",
-    6: "bright dark dim shiny dull glowing radiant luminous brilliant faint",
-    7: "heavy light lightweight weightless",
-    8: "soft hard rough smooth fuzzy coarse silky bumpy fluffy rigid tender crispy",
-    9: "sweet salty bitter sour spicy bland savory tangy delicious tasty",
-    10: "round long flat curved square circular oval straight triangular cylindrical spherical",
-    11: "quiet loud noisy silent deafening mute",
-    12: "clear transparent opaque murky foggy cloudy",
-    13: "friendly loyal independent cute brave gentle shy kind mean cruel honest generous stubborn playful aggressive calm nervous lazy curious clever",
+    "red": 1, "blue": 1, "green": 1, "yellow": 1, "brown": 1, "white": 1, "black": 1, "orange": 1, "purple": 1, "pink": 1, "gray": 1, "grey": 1, "golden":
+    1, "silver": 1, "crimson": 1, "scarlet": 1, "violet": 1, "maroon": 1, "turquoise": 1, "beige": 1, "tan": 1, "ivory": 1, "indigo": 1, "magenta": 1,
+    "teal": 1, "colorful": 1, "colourful": 1, "multicolored": 1,
+    "big": 2, "small": 2, "tall": 2, "deep": 2, "large": 2, "tiny": 2, "huge": 2, "short": 2, "narrow": 2, "wide": 2, "vast": 2, "little": 2, "enormous":
+    2, "giant": 2, "massive": 2, "miniature": 2, "petite": 2, "compact": 2, "immense": 2, "thick": 2, "thin": 2,
+    "hot": 3, "cold": 3, "warm": 3, "cool": 3, "freezing": 3, "boiling": 3, "chilly": 3, "icy": 3, "lukewarm": 3, "tepid": 3, "scorching": 3,
+    "fast": 4, "slow": 4, "quick": 4, "rapid": 4, "swift": 4, "speedy": 4, "sluggish": 4,
+    "old": 5, "new": 5, "young": 5, "ancient": 5, "modern": 5, "fresh": 5, "elderly": 5, "youthful": 5, "aged": 5, "juvenile": 5,
+    "bright": 6, "dark": 6, "dim": 6, "shiny": 6, "dull": 6, "glowing": 6, "radiant": 6, "luminous": 6, "brilliant": 6, "faint": 6,
+    "heavy": 7, "light": 7, "lightweight": 7, "weightless": 7,
+    "soft": 8, "hard": 8, "rough": 8, "smooth": 8, "fuzzy": 8, "coarse": 8, "silky": 8, "bumpy": 8, "fluffy": 8, "rigid": 8, "tender": 8, "crispy": 8,
+    "sweet": 9, "salty": 9, "bitter": 9, "sour": 9, "spicy": 9, "bland": 9, "savory": 9, "tangy": 9, "delicious": 9, "tasty": 9,
+    "round": 10, "long": 10, "flat": 10, "curved": 10, "square": 10, "circular": 10, "oval": 10, "straight": 10, "triangular": 10, "cylindrical": 10,
+    "spherical": 10,
+    "quiet": 11, "loud": 11, "noisy": 11, "silent": 11, "deafening": 11, "mute": 11,
+    "clear": 12, "transparent": 12, "opaque": 12, "murky": 12, "foggy": 12, "cloudy": 12,
+    "friendly": 13, "loyal": 13, "independent": 13, "cute": 13, "brave": 13, "gentle": 13, "shy": 13, "kind": 13, "mean": 13, "cruel": 13, "honest": 13,
+    "generous": 13, "stubborn": 13, "playful": 13, "aggressive": 13, "calm": 13, "nervous": 13, "lazy": 13, "curious": 13, "clever": 13,
 }
 # Words of definitions that hint at a property category, in order.
 DEFINITION_HINTS = {
@@ -92,14 +98,16 @@ PUNT_PHRASES = (
 )
 # Relation names that must not leak into answers, in the order they are looked for.
 RELATION_NAMES = (
-    "IsA PartOf HasA HasProperty CapableOf AtLocation Causes HasPrerequisite UsedFor CreatedBy MadeOf Desires CausesDesire RelatedTo SimilarTo "
-    "Antonym DerivedFrom MannerOf LocatedNear HasContext DefinedAs SymbolOf ReceivesAction FormOf EtymologicallyRelatedTo Synonym "
-    "HasFirstSubevent HasLastSubevent MotivatedByGoal"
-).split()
+    "IsA", "PartOf", "HasA", "HasProperty", "CapableOf", "AtLocation", "Causes", "HasPrerequisite", "UsedFor", "CreatedBy", "MadeOf", "Desires",
+    "CausesDesire", "RelatedTo", "SimilarTo", "Antonym", "DerivedFrom", "MannerOf", "LocatedNear", "HasContext", "DefinedAs", "SymbolOf",
+    "ReceivesAction", "FormOf", "EtymologicallyRelatedTo", "Synonym", "HasFirstSubevent", "HasLastSubevent", "MotivatedByGoal",
+)
 # Phrases removed from answers, and jargon that answers must not have.
 REMOVED_PHRASES = ("SML context", "SML block", "SML data", "anchor token", "confidence score", "provided SML", "the SML")
 ANSWER_JARGON = ("SML", "anchor token", "confidence score", "relation type", "entity descriptor", "knowledge base encoding")
 RECORD_JARGON = ("SML", "anchor token", "confidence score")
+# Gaps that removed words leave, and what they become.
+GAPS = ((r"\s*\(\s*\)\s*", " "), (r'"\s*"', ""), (r"\s{2,}", " "))
 ANCHOR_LEAK = r"(?U)\b\w+_\d{3,}\b"
 
 
@@ -124,7 +132,7 @@ def words(text: Column) -> Column:
 
 
 def is_stop_word(word: Column) -> Column:
-    return F.lower(word).isin(STOP_WORDS)
+    return F.lower(word).isin(*STOP_WORDS)
 
 
 def anchor_token(surface: Column, concept_id: Column) -> Column:
@@ -146,9 +154,8 @@ def json_weight(metadata: Column) -> Column:
 
 def property_category(surface: Column, definition: Column) -> Column:
     """The category of a seed word, else the first whose hint the definition has, else 0."""
-    seeds = {w: c for c, ws in PROPERTY_SEEDS.items() for w in ws.split()}
     hints = F.coalesce(*(F.when(any_of(F.lower(definition), ws), F.lit(c)) for c, ws in DEFINITION_HINTS.items()), F.lit(0))
-    return F.coalesce(lookup(seeds, F.lower(surface)), hints)
+    return F.coalesce(lookup(PROPERTY_SEEDS, F.lower(surface)), hints)
 
 
 def asked_category(text: Column) -> Column:
@@ -174,7 +181,7 @@ def clean_response(text: Column) -> Column:
         out = F.replace(out, F.lit(name), F.lit(""))
     for phrase in REMOVED_PHRASES:
         out = F.regexp_replace(out, f"(?i){phrase}", "")
-    for pattern, to in ((r"\s*\(\s*\)\s*", " "), (r'"\s*"', ""), (r"\s{2,}", " ")):
+    for pattern, to in GAPS:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +11,14 @@ K1, B = 1.2, 0.75
 def postings(nodes: DataFrame, *columns: str) -> DataFrame:
     """token, id, tf, length: one row for each word of each concept."""
     text = F.lower(F.concat_ws(" ", *(F.col(c) for c in columns)))
-    words = F.filter(F.split(F.regexp_replace(text, "[^a-z0-9_]+", " "), " "), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
     rows = nodes.select("id", words.alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("token"))
     return rows.groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
 
 
 def query_terms(text: str) -> list[str]:
-    return re.sub(r"[^a-z0-9_ ]", " ", text.lower()).split()
+    """Letters, digits and _ of each word; other characters vanish."""
+    return "".join(x for x in text.lower() if x.isalnum() or x == "_" or x.isspace()).split()
 
 
 def search(posts: DataFrame, text: str, limit: int = 5) -> DataFrame:

@@ -63,21 +63,11 @@ def p1_lookup_concept(s, d):
     return kg.lookup_concepts(nodes(s, d), table(s, d, "customer").select(F.upper("c_name").alias("text")).distinct()).select("text", "id")
 
 
-@query("p2_lookup_by_anchor", r"""SELECT anchor_token, id FROM (SELECT id, regexp_replace(replace(replace(lower(surface_text), ' ', '_'), '-', '_'), '[^\p{L}\p{N}_]', '', 'g') || '_' || id AS anchor_token FROM nodes)""")
-def p2_lookup_by_anchor(s, d):
-    return nodes(s, d).select(text.anchor_token(c("surface_text"), c("id")).alias("anchor_token"), "id")
-
-
 @query("p3_relation_types", "SELECT id, label, inverse_label FROM rt")
 def p3_relation_types(s, d):
     return kg.relation_types(s)
 
 
-@query("p4_taxonomy", "SELECT domain, category, count(*) AS n FROM nodes GROUP BY ALL")
-def p4_taxonomy(s, d):
-    return nodes(s, d).groupBy("domain", "category").agg(F.count("*").alias("n"))
-
-
 @query("p5_get_relations", "SELECT n.id AS concept_id, e.source_id, e.target_id, e.relation_type_id FROM edges e JOIN nodes n ON (e.source_id = n.id OR e.target_id = n.id)")
 def p5_get_relations(s, d):
     return kg.adjacent(edges(s, d), nodes(s, d).select(c("id").alias("concept_id"))).select("concept_id", "source_id", "target_id", "relation_type_id")
@@ -260,7 +250,7 @@ def t6_append_new_pairs(s, d):
     return own.unionByName(more.join(own, ["source_id", "target_id"], "left_anti"))
 
 
-X1_SQL = r""", w AS (SELECT id, list_filter(regexp_split_to_array(lower(surface_text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM nodes),
+X1_SQL = r""", w AS (SELECT id, list_filter(regexp_split_to_array(lower(surface_text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM nodes),
 p AS (SELECT token, id, len(w) AS length, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM w) GROUP BY ALL),
 sz AS (SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT id, length FROM p)),
 h AS (SELECT id, length, t, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT *, 0 AS t FROM p WHERE token = 'customer' UNION ALL SELECT *, 1 FROM p WHERE starts_with(token, '00000001')) GROUP BY ALL),
@@ -593,7 +583,7 @@ def x4_asked_category(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.coalesce(text.asked_category(c("text")), F.lit(0)).alias("category"))
 
 
-@query("x3_property_category", "SELECT id, CAST(CASE " + " ".join(f"WHEN surface_text IN ({quoted(ws.split())}) THEN {k}" for k, ws in text.PROPERTY_SEEDS.items()) + " " + " ".join(f"WHEN {has_sql('surface_text', ws)} THEN {k}" for k, ws in text.DEFINITION_HINTS.items()) + " ELSE 0 END AS INTEGER) AS category FROM nodes")
+@query("x3_property_category", "SELECT id, CAST(CASE " + " ".join(f"WHEN surface_text = '{w}' THEN {k}" for w, k in text.PROPERTY_SEEDS.items()) + " " + " ".join(f"WHEN {has_sql('surface_text', ws)} THEN {k}" for k, ws in text.DEFINITION_HINTS.items()) + " ELSE 0 END AS INTEGER) AS category FROM nodes")
 def x3_property_category(s, d):
     return nodes(s, d).select("id", text.property_category(c("surface_text"), c("surface_text")).alias("category"))
 
@@ -626,33 +616,11 @@ def a13_recall(s, d):
     return records.recall(truth, found).select("key", F.array_join("missing", ",").alias("missing"), "status")
 
 
-@query("a14_size_ratios", """SELECT lang, count(*) AS n, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, round(avg(CASE WHEN n_chars > 0 THEN (length(text) // 4) / n_chars ELSE 0 END), 6) AS mean_ratio, round(sum(length(text) // 4) / sum(n_chars), 6) AS ratio_of_sums FROM documents GROUP BY lang""", views=False)
-def a14_size_ratios(s, d):
-    n = text.estimated_tokens(c("text"))
-    t = table(s, d, "documents")
-    return t.groupBy("lang").agg(F.count("*").alias("n"), F.sum(n).alias("tokens"), F.round(F.avg(text.ratio(n, c("n_chars"))), 6).alias("mean_ratio"), F.round(text.ratio(F.sum(n), F.sum("n_chars")), 6).alias("ratio_of_sums"))
-
-
 @query("a15_worst_documents", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10", views=False)
 def a15_worst_documents(s, d):
     return table(s, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
 
 
-@query("a18_accuracy", "SELECT quality, count(*) AS n, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labels GROUP BY quality", views=False)
-def a18_accuracy(s, d):
-    return table(s, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg((c("toxic") == 0).cast("double")), 6).alias("accuracy"))
-
-
-@query("a8_coverage", """, w AS (SELECT conv_id, turn, lower(unnest(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))) AS w FROM conversations),
-k AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (w IN (SELECT unnest(regexp_split_to_array(surface_text, '[ #]+')) FROM nodes)) AS known FROM w GROUP BY ALL)
-SELECT count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(known) AS BIGINT) AS n_known, round(100.0 * sum(known) / sum(n), 1) AS coverage_pct, count(*) FILTER (known = 0) AS n_empty FROM k""")
-def a8_coverage(s, d):
-    w = table(s, d, "conversations").select("conv_id", "turn", F.explode(text.words(c("text"))).alias("w")).withColumn("w", F.lower("w"))
-    known = nodes(s, d).select(F.explode(F.split("surface_text", "[ #]+")).alias("w")).distinct().withColumn("hit", F.lit(1))
-    k = w.join(known, "w", "left").groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.count("hit").alias("known"))
-    return k.agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_words"), F.sum("known").alias("n_known"), F.round(100.0 * F.sum("known") / F.sum("n"), 1).alias("coverage_pct"), F.count(F.when(c("known") == 0, 1)).alias("n_empty"))
-
-
 @query("t7_distinct_then_expand", "SELECT conv_id, turn, length(lower(text)) AS n FROM conversations", views=False)
 def t7_distinct_then_expand(s, d):
     t = table(s, d, "conversations").select("conv_id", "turn", "text")
@@ -681,17 +649,6 @@ def f25_json_fields(s, d):
     return table(s, d, "events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), key).alias("value"))
 
 
-@query("f15_roles_table", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id", views=False)
-def f15_roles_table(s, d):
-    t = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("l"))
-    return t.select("conv_id", F.array_join(F.transform("l", lambda x: x["role"]), ">").alias("roles"), F.size("l").cast("long").alias("n"))
-
-
-@query("k9_manifest", "SELECT count(*) AS generated, count(*) FILTER (n_chars = 0) AS failed, max(n_chars) AS longest FROM documents", views=False)
-def k9_manifest(s, d):
-    return table(s, d, "documents").agg(F.count("*").alias("generated"), F.count(F.when(c("n_chars") == 0, 1)).alias("failed"), F.max("n_chars").alias("longest"))
-
-
 @query("r_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", views=False)
 def r_windows(s, d):
     """Extension: hourly counts of events, as the streaming form gives them."""

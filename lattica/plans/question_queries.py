@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.operators import graph, prompts, questions
 from lattica.plans.queries import CLOSURE, query, starts
 from lattica.shared import cut
-from lattica.sources.tables import edges, nodes, small_edges, small_entities, table
+from lattica.sources.tables import edges, nodes, small_edges, small_entities
 
 #: Question graphs made, and the seed of their draws.
 GRAPHS, SEED = 300, 11

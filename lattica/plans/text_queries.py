@@ -95,7 +95,7 @@ def j9_pair_relations(s, d):
 
 
 X2_SQL = rf""", wd AS (SELECT DISTINCT word FROM (SELECT lower(n_name) AS word FROM nation UNION ALL SELECT lower(split_part(p_type, ' ', 1))[1:4] FROM part UNION ALL SELECT lower(p_brand) FROM part UNION ALL SELECT unnest(['the', 'zzz', 'customer'])) WHERE NOT list_contains([{quoted(text.STOP_WORDS)}], word)),
-w AS (SELECT id, list_filter(regexp_split_to_array(lower(surface_text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM nodes),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(surface_text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM nodes),
 p AS (SELECT token, id, len(w) AS length, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM w) GROUP BY ALL), sz AS (SELECT count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT id, length FROM p)),
 ex AS (SELECT word, min(id) AS id FROM wd JOIN nodes ON surface_text = word GROUP BY word),
 h AS (SELECT word, p.id, length, CAST(sum(tf) AS BIGINT) AS tf FROM wd JOIN p ON starts_with(token, word) WHERE word NOT IN (SELECT word FROM ex) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM h GROUP BY word),

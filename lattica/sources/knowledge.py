@@ -9,15 +9,17 @@ from lattica.functions.codec import lookup
 from lattica.functions.text import anchor_token, english_term, json_weight, property_category
 from lattica.operators.kg import first_ordinals
 from lattica.schemas import MESSAGES, URI_TO_ID
+from lattica.shared import cut
+from lattica.sources.store import numbered_lines
 
 
 def read_assertions(spark: SparkSession, path: str, parallelism: int | None = None) -> DataFrame:
     """row, relation_uri, source_uri, target_uri, metadata of a tab-separated file (gzip too); short rows are skipped.
 
-    row rises with the line's place in its file.  A gzip file is one task to read; parallelism spreads its rows.
+    row is the line's number, in files by name.  A gzip file is one task to read; parallelism spreads its rows.
     """
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), parts.alias("p")).filter(F.size("p") >= 5)
+    rows = numbered_lines(spark, path).select(F.col("line").alias("row"), parts.alias("p")).filter(F.size("p") >= 5)
     rows = rows.select("row", F.get("p", F.lit(1)).alias("relation_uri"), F.get("p", F.lit(2)).alias("source_uri"), F.get("p", F.lit(3)).alias("target_uri"), F.get("p", F.lit(4)).alias("metadata"))
     return rows.repartition(parallelism) if parallelism else rows
 
@@ -51,21 +53,22 @@ def build_graph(relations: DataFrame, max_concepts: int | None = None, definitio
     return concepts, e.select("row", "source_id", "target_id", "relation_type_id", "weight")
 
 
-def hypernym_taxonomy(hypernyms: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+def hypernym_taxonomy(hypernyms: DataFrame, roots: DataFrame) -> DataFrame:
     """text, domain, category, subcategory, specificity from hypernyms(term, parent, pos) and roots(term, domain, category, subcategory).
 
-    Each term follows its first parent up; the nearest two mapped ancestors fill what is 0; specificity is the
+    Each term follows its first parent up, to the top or to where a circle closes; the nearest mapped ancestors fill what is 0; specificity is the
     depth less one, 5 at most.
     """
     first = hypernyms.groupBy("term").agg(F.min_by("parent", "pos").alias("parent"))
-    walk = first.select(F.col("term").alias("text"), "parent", F.lit(1).alias("depth"))
-    found = walk
-    for d in range(2, max_depth + 1):
-        walk = walk.select("text", F.col("parent").alias("term")).join(first, "term").select("text", "parent", F.lit(d).alias("depth"))
-        if walk.isEmpty():
-            break
+    first = cut(first)
+    found = walk = first.select(F.col("term").alias("text"), "parent", F.lit(1).alias("depth"))
+    depth = 1
+    while not walk.isEmpty():
+        depth += 1
+        walk = walk.select("text", F.col("parent").alias("term")).join(first, "term").select("text", "parent", F.lit(depth).alias("depth"))
+        walk = cut(walk.join(found.select("text", "parent"), ["text", "parent"], "left_anti"))
         found = found.unionByName(walk)
-    mapped = found.join(F.broadcast(roots), found["parent"] == roots["term"], "left")
+    mapped = found.join(roots, found["parent"] == roots["term"], "left")
     g = mapped.groupBy("text").agg(F.max("depth").alias("deep"), *(F.coalesce(F.min_by(c, F.when(F.col(c) > 0, F.col("depth"))), F.lit(0)).alias(c) for c in ("domain", "category", "subcategory")))
     return g.select("text", "domain", "category", "subcategory", F.least(F.col("deep") - 1, F.lit(5)).alias("specificity"))
 
@@ -77,8 +80,8 @@ def insert_new(existing: DataFrame, rows: DataFrame, key: str, order: str) -> Da
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """line, messages, valid: records of JSON lines, blank lines skipped, bad ones kept with valid = false."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value").filter(F.trim("value") != "")
+    """line (from 0), messages, valid: records of JSON lines, blank lines skipped but counted, bad ones kept with valid = false."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", f"messages {MESSAGES}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     return parsed.select("line", F.col("r.messages").alias("messages"), F.col("r._corrupt_record").isNull().alias("valid"))
 

@@ -30,18 +30,32 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return w.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+POSTING = "token string, id long, length int, tf long, batch long"
+
+
 def upsert_postings(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep postings of concepts in a folder up to date: each batch replaces the postings of its concepts.
+    """Keep postings of concepts in a folder up to date: each batch adds those of its concepts, which take the place of earlier ones.
 
-    stream: id, surface_text.  A batch writes a new version beside the last; readers take the highest.
+    stream: id, surface_text; a null text deletes the concept's postings.  Of several rows of one id in a batch the greatest text counts.
+    A batch writes what it brings and nothing else, under its number, so a repeated batch changes nothing; current_postings() reads, compacted() cleans up.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = postings(batch, "surface_text")
-        if number:
-            old = spark.read.parquet(f"{path}/version={number - 1}")
-            new = new.unionByName(old.join(batch.select("id").distinct(), "id", "left_anti").select(*new.columns))
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        one = batch.groupBy("id").agg(F.max("surface_text").alias("surface_text"))
+        postings(one.filter("surface_text IS NOT NULL"), "surface_text").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        one.select("id").write.mode("overwrite").parquet(f"{path}/touched/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_postings(spark: SparkSession, path: str) -> DataFrame:
+    """token, id, length, tf: the postings that each concept's last batch has written."""
+    last = spark.read.schema("id long, batch long").parquet(f"{path}/touched").groupBy("id").agg(F.max("batch").alias("batch"))
+    return spark.read.schema(POSTING).parquet(f"{path}/postings").join(last, ["id", "batch"]).select("token", "id", "length", "tf")
+
+
+def compacted(spark: SparkSession, path: str, out: str) -> None:
+    """Write the current postings to another folder as one first batch."""
+    now = current_postings(spark, path)
+    now.write.mode("overwrite").parquet(f"{out}/postings/batch=-1")
+    now.select("id").distinct().write.mode("overwrite").parquet(f"{out}/touched/batch=-1")

@@ -158,4 +158,13 @@ def test_streams(spark, tmp_path):
     n.write.parquet(str(tmp_path / "n"))
     s = spark.readStream.schema(n.schema).parquet(str(tmp_path / "n"))
     ingest.upsert_postings(s, str(tmp_path / "posts"), str(tmp_path / "ck2")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "posts/version=0")).count() == 2
+    found = lambda: sorted((r["token"], r["id"]) for r in ingest.current_postings(spark, str(tmp_path / "posts")).collect())
+    assert found() == [("dog", 1), ("hot", 1)]
+    spark.createDataFrame([(1, "cold cat"), (2, "old dog")], "id long, surface_text string").write.mode("append").parquet(str(tmp_path / "n"))
+    ingest.upsert_postings(s, str(tmp_path / "posts"), str(tmp_path / "ck2")).awaitTermination(60)
+    assert found() == [("cat", 1), ("cold", 1), ("dog", 2), ("old", 2)]
+    spark.createDataFrame([(1, None)], "id long, surface_text string").write.mode("append").parquet(str(tmp_path / "n"))
+    ingest.upsert_postings(s, str(tmp_path / "posts"), str(tmp_path / "ck2")).awaitTermination(60)
+    assert found() == [("dog", 2), ("old", 2)]
+    ingest.compacted(spark, str(tmp_path / "posts"), str(tmp_path / "small"))
+    assert ingest.current_postings(spark, str(tmp_path / "small")).count() == 2
