@@ -213,6 +213,8 @@ def _dictionary(buckets: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         rows = [(bucket, kind, blob) for kind, parts in ((WORDS, words), (GRAMS, grams)) for keys, n in [_counted(parts)] for bucket, blob in _split(keys, n, _bucket(keys, buckets))]
         out = pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
         out["block"] = key[0]
+        del words, grams, rows
+        released()
         return out[["bucket", "block", "kind", "blob"]]
 
     return run
@@ -340,6 +342,8 @@ def _score(tokens: int, distinct: int, train_docs: int) -> Callable[[tuple, pd.D
             g, starts = grams_of(texts)
             seen, place = np.unique(g, return_inverse=True)
             score[at] = np.add.reduceat(bits[np.searchsorted(grams, seen)][place], starts, dtype=np.float64) * -math.log10(2)
+        del words, word_n, grams, bits
+        released()
         return pd.DataFrame({"doc_id": d["doc_id"], "held_out": d["held_out"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": tokens, "base_score": base, "score": score})
 
     return run
