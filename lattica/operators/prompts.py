@@ -57,7 +57,7 @@ def scene_prompts(pairs: DataFrame, places: DataFrame, bank: tuple[str, ...], se
     first = places.select("location").distinct().orderBy("location").limit(FALLBACK_PLACES)
     fallback = first.agg(F.array_sort(F.collect_list("location")).alias("places"))
     own = own.join(F.broadcast(fallback))  # one row of FALLBACK_PLACES names
-    at = F.coalesce("location", F.get("places", (number("place", F.col("entity"), seed) % F.size("places")).cast("int")), F.lit("a room"))
+    at = F.coalesce("location", F.get("places", (number("place", F.col("entity"), seed) % F.greatest(F.size("places"), F.lit(1))).cast("int")), F.lit("a room"))
     return own.select(filled(pick(bank, "scene", F.col("entity"), seed), adj=F.col("adj"), entity=F.col("entity"), location=at).alias("prompt")).distinct()
 
 
