@@ -7,6 +7,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.text import anchor_token
 from lattica.shared import numbered
 
 
@@ -37,6 +38,19 @@ def replace_store(store: Store, path: str) -> None:
     store.relations.repartition("source_id").sortWithinPartitions("source_id").write.mode("overwrite").parquet(f"{path}/relations")
 
 
+def from_fixture(concepts: DataFrame, edges: DataFrame, types: DataFrame) -> Store:
+    """A store of hand-written rows: concepts(line, surface_text, domain, category, subcategory, specificity) and edges(line, source, label, target, weight).
+
+    Ids follow the lines; ends and labels that are not known are left out.  types: id, label; of equal labels the largest id counts.
+    """
+    c = numbered(concepts, F.col("line"), name="_n")
+    c = c.select((F.col("_n") + 1).alias("id"), "surface_text", anchor_token(F.col("surface_text"), F.col("_n") + 1).alias("anchor_token"), "domain", "category", "subcategory", "specificity")
+    ids = c.groupBy("surface_text").agg(F.min("id").alias("id"))
+    kinds = types.groupBy("label").agg(F.max("id").alias("relation_type_id"))
+    e = edges.join(ids.select(F.col("surface_text").alias("source"), F.col("id").alias("source_id")), "source").join(ids.select(F.col("surface_text").alias("target"), F.col("id").alias("target_id")), "target").join(kinds, "label")
+    return Store(c, with_edge_ids(e, F.col("line")).select("id", "source_id", "target_id", "relation_type_id", "weight"))
+
+
 def open_store(spark: SparkSession, path: str) -> Store:
     return Store(spark.read.parquet(f"{path}/concepts"), spark.read.parquet(f"{path}/relations"))
 

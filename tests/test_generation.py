@@ -5,7 +5,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lattica.config import Settings
-from lattica.operators import clusters, encoder, evaluation, generation, graph, prompts, questions, search
+from lattica.functions import tokens
+from lattica.operators import clusters, encoder, evaluation, generation, graph, kg, prompts, questions, search
 from lattica.shared import numbered
 from lattica.sources import store
 
@@ -51,14 +52,14 @@ TOKENS = "text_id long, i int, text string, lemma string, pos string, dep string
 def test_encode(spark):
     c = concept_rows(spark, "dog", "park", "brown", "chase", "cat")
     e = spark.createDataFrame([(1, 5, 24, 0.61), (1, 3, 4, 0.9)], EDGE)
-    tokens = [
+    parse = [
         (1, 0, "The", "the", "DET", "det", 2, 0, False, None), (1, 1, "brown", "brown", "ADJ", "amod", 2, 0, False, None), (1, 2, "dog", "dog", "NOUN", "nsubj", 3, 0, True, None), (1, 3, "chased", "chase", "VERB", "ROOT", 3, None, False, "Past"),
         (1, 4, "cats", "cat", "NOUN", "dobj", 3, 1, True, None), (1, 5, "in", "in", "ADP", "prep", 3, None, False, None), (1, 6, "park", "park", "NOUN", "pobj", 5, 2, True, None),
         (2, 0, "Qqqq", "qqqq", "NOUN", "ROOT", 0, None, False, None),
         (3, 0, "dog", "dog", "NOUN", "ROOT", 0, None, False, None), (3, 1, "cat", "cat", "NOUN", "conj", 0, None, False, None),
     ]
     texts = spark.createDataFrame([(1, "The brown dog chased cats in park"), (2, "Qqqq only"), (3, "dog cat"), (4, "")], "text_id long, text string")
-    got = {r["text_id"]: r["block"].split("\n")[1:-1] for r in encoder.encode(texts, spark.createDataFrame(tokens, TOKENS), c, e, search.postings(c, "surface_text")).collect()}
+    got = {r["text_id"]: r["block"].split("\n")[1:-1] for r in encoder.encode(texts, spark.createDataFrame(parse, TOKENS), c, e, search.postings(c, "surface_text")).collect()}
     assert got[1] == ["E(1|2|0|0|dog_1|brown_3|0|0.9)", "E(1|2|0|0|cat_5|0|0|0.9)", "E(1|2|0|0|park_2|0|0|0.9)", "E(1|2|0|0|chase_4|0|0|0.85)", "R(AtLocation|0|1|0.85|1|0)"]
     assert got[2] == ["E(0|0|0|0|unknown_qqqq_only|0|0|0.3)"] and got[4] == ["E(0|0|0|0|unknown_|0|0|0.3)"]
     assert got[3] == ["E(1|2|0|0|dog_1|0|0|0.9)", "E(1|2|0|0|cat_5|0|0|0.9)", "R(RelatedTo|0|1|0.61|0|0)"]
@@ -121,6 +122,28 @@ def test_store(spark, tmp_path):
     assert sorted((x["id"], x["source_id"]) for x in back.relations.collect()) == [(1, 1), (2, 2), (3, 1)] and back.concepts.count() == 2
 
 
+def test_store_from_fixture(spark):
+    c = spark.createDataFrame([(0, "dog", 1, 1, 0, 0), (2, "hot dog", 1, 5, 0, 0)], "line long, surface_text string, domain int, category int, subcategory int, specificity int")
+    e = spark.createDataFrame([(0, "hot dog", "IsA", "dog", 0.9), (1, "dog", "Nope", "dog", 0.9), (2, "dog", "HasContext", "cat", 0.9), (3, "dog", "HasContext", "hot dog", 0.5)], "line long, source string, label string, target string, weight double")
+    s = store.from_fixture(c, e, kg.relation_types(spark))
+    assert sorted((r["id"], r["anchor_token"]) for r in s.concepts.collect()) == [(1, "dog_1"), (2, "hot_dog_2")]
+    assert sorted(map(tuple, s.relations.collect())) == [(1, 2, 1, 1, 0.9), (2, 1, 2, 30, 0.5)]
+
+
+def test_token_counts(spark):
+    texts = ["a b c", "", None, "some longer text here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = {r["i"]: r["n"] for r in df.select("i", tokens.token_counter(None)(F.col("t")).alias("n")).collect()}
+    assert plain == {0: 1, 1: 0, 2: None, 3: 5}
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    got = {r["i"]: r["n"] for r in df.select("i", tokens.token_counter(path)(F.col("t")).alias("n")).collect()}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    assert got == {i: None if x is None else len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_question_files(spark, tmp_path):
     a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
     a.write_text('{"question": "q1", "choices": ["x", "y"], "answer": 1}\n\n{"question": "q2", "choices": ["x"], "answer": 0}\n')
