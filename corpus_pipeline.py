@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing over documents.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that
-is written and read again as the next one's docs.  All but the last return the columns of docs.
+is written and read again as the next one's docs.  All but the last return the columns of docs, extra ones too, whatever
+their names.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,13 +19,19 @@ from lattica.llm.packing import pack_best_fit
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; lang becomes the language found."""
+    """Documents whose language is identified; lang becomes the language found.
+
+    Null texts, texts of white space alone and texts of no sure language go; repeated rows are judged alike.
+    """
     found = identify_documents(docs, *document_model(spark, docs)).filter("accepted")
     return found.select(*(F.col("language").alias("lang") if c == "lang" else c for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their new lines only; those that had lines and have none left go."""
+    """Documents with their new lines only; those that had lines and have none left go.
+
+    Null and empty texts stay as they are.  Rows of one doc_id and text keep the same lines; rows without an id come last.
+    """
     d = dedup_lines(docs).filter("n_lines = 0 OR n_kept > 0")
     new = {"text": F.col("line_text"), "n_chars": F.char_length("line_text").cast(dict(docs.dtypes).get("n_chars", "int"))}
     return d.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
@@ -48,12 +55,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights take them."""
+    """Documents as often as the target weights take them; not at all where the budget of their leaf is used up.
+
+    Null and empty names are one leaf; documents without tokens follow their order key, and repeated rows go or stay together.
+    """
     m = mixed(docs).withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     return m.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins of all documents: doc_id, piece, bin_id, slot, start, n_tokens; null and empty texts take a slot without tokens."""
     return pack_best_fit(docs)
 
 
