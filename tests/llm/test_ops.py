@@ -571,3 +571,19 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS), "").collect()
     want = [(7, a), (7, b), (3, c), (8, d), (None, e), (1, None), (None, ""), (None, "")]
     assert sorted(str((r["doc_id"], r["text"] and r["text"].lower())) for r in got) == sorted(map(str, want))
+
+
+def test_pipeline_bears_empty_tables_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    some = [(i, f"this is the text number {i} of a small corpus, and it has some words\nline {i} of it", "en", f"src{i % 3}", 70) for i in range(12)] + [(None, None, None, None, None), (1, "", "en", "s", 0)]
+    full = spark.createDataFrame(some, DOCS).withColumns({c: F.lit("x") for c in ("flags", "mark", "d", "label", "cid", "language", "n_lines", "mix_copies")})
+    for what, now in (("none", full.limit(0)), ("some", full)):
+        columns, ids = now.columns, set()
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, "")
+            assert i == 4 or out.columns == columns, name
+            out.write.parquet(str(tmp_path / f"{what}{i}"))
+            now = spark.read.parquet(str(tmp_path / f"{what}{i}"))
+            ids = {r["doc_id"] for r in now.select("doc_id").collect()}
+        assert ids == set() if what == "none" else ids
