@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import carried, cut, cut_bucketed, freed, parts_for, table, uncarried
 
 #: Lines within this edit distance of an earlier line are dropped, if they have MIN_CHARS characters.
 MAX_EDITS, MIN_CHARS = 2, 24
-#: Characters, the frequent ones first, that counts and classes tell apart; all others are alike.
+#: Characters, the frequent ones first, that counts tell apart; all others are alike.
 LETTERS = "etaoinshrdlcumwfgypbvkjxqz0123456789"
 #: Numbers in the count filter, of 8 bits each.
 COUNTS = 8
-#: Lines that share a key are all compared up to this number; larger groups are divided first.
+#: Lines that share a key are all compared up to this number; those of larger groups get narrower keys.
 GROUP = 64
 #: Megabytes of text in one bucket of the table of marked texts.
 BUCKET_MB = 24
@@ -87,13 +90,6 @@ def line_id(line: Column) -> Column:
     return F.shiftleft(F.xxhash64(line), 1)
 
 
-def classes(edits: int, turn: int) -> list[str]:
-    """Patterns of the characters outside each of 2 * edits + 1 classes; other turns mix the classes."""
-    k = 2 * edits + 1
-    of = ["".join(c + (c.upper() if c.isalpha() else "") for j, c in enumerate(LETTERS) if (j + turn * (j // k)) % k == x) for x in range(k)]
-    return [f"[^{x}]" for x in of[:-1]] + [f"[{''.join(of[:-1])}]"]
-
-
 def _own(v: Column) -> Column:
     return v.bitwiseAND(F.lit(1).cast("long"))
 
@@ -102,16 +98,124 @@ def _id(v: Column) -> Column:
     return v - _own(v)
 
 
-def divided(rows: DataFrame, texts: DataFrame, edits: int, turn: int) -> DataFrame:
-    """key, v, n, counts of large groups, with 2 * edits + 1 narrower keys for each row.
+def shares(edits: int) -> list[tuple[int, ...]]:
+    """The ways to share edits edits out to the free parts of a line, in order; all to one part first."""
+    return [(edits,)] + [(n, *more) for n in range(edits - 1, 0, -1) for more in shares(edits - n)]
+
+
+def _narrower(edits: int) -> list[tuple[int, list[tuple[int, int, int | None]]]]:
+    """The ways to narrow a free part with up to edits edits, cut into 2 * edits segments, to edits of them: number of the choice, and
+    its runs of segments (first, end, by how much the line's run is longer; None: what is left of the whole difference).
+
+    Edits touch as many segments at most, and a choice can be found in which a run of r segments has up to r of them.
+    """
+    out = []
+    for number, chosen in enumerate(itertools.combinations(range(2 * edits), edits)):
+        firsts = [x for x in chosen if x - 1 not in chosen]
+        runs = [(x, next(y for y in range(x + 1, 2 * edits + 1) if y not in chosen)) for x in firsts]
+        for gains in itertools.product(*(range(x - y, y - x + 1) for x, y in runs[:-1])):
+            out.append((number, [(*run, gain) for run, gain in zip(runs, (*gains, None), strict=True)]))
+    return out
+
+
+def _ways(share: tuple[int, ...], edits: int) -> Column:
+    """Each way to narrow all parts that edits are shared out to, as a constant.  The runs of each part are in order."""
+    out = []
+    for chosen in itertools.product(*map(_narrower, share)):
+        runs, to, loses = [], [], 0
+        for j, (k, (_, of)) in enumerate(zip(share, chosen, strict=True)):
+            for first, end, gain in of:
+                loses = loses or gain or 0
+                to.append(end - first)
+                run = {"part": j, "cut": 2 * k, "first": first, "end": end, "gain": gain, "opens": first == of[0][0], "closes": gain is None}
+                runs.append(F.struct(*(F.lit(x).cast("boolean" if isinstance(x, bool) else "int").alias(c) for c, x in run.items())))
+        # of two lines of one size and less than four edits, one has the gain first
+        fields = {"number": F.lit(",".join(str(number) for number, _ in chosen)), "share": F.lit(shares(edits).index(tuple(to))), "both": F.lit(edits > 3 or loses >= 0), "runs": F.array(*runs)}
+        out.append(F.struct(*(c.alias(name) for name, c in fields.items())))
+    return F.array(*out)
+
+
+def whole_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """key, v, n, counts, share, parts, near of lines(id, n, counts): each line as one free part, once for each length that is sought."""
+    x = lines.select("id", "n", "counts", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("more")).filter(F.col("n") - F.col("more") >= least)
+    part = F.struct(F.lit(0).alias("at"), F.col("n").alias("size"), F.col("more").alias("more"), F.col("id").alias("mark"))
+    v = F.col("id") + (F.col("more") == 0).cast("long")
+    return x.select((F.col("n") - F.col("more")).cast("long").alias("key"), v.alias("v"), "n", "counts", F.lit(0).alias("share"), F.array(part).alias("parts"), F.lit(False).alias("near"))
+
+
+def narrowed(rows: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """rows(key, v, n, counts, share, parts, near) with narrower free parts and, in the keys, what is left outside them.
+
+    Lines of one key are equal outside their free parts.  Two that differ there by edits edits, shared out to the
+    parts in any way that `share` names, have such a new key in common.
+    """
+    found = rows.withColumn("id", _id(F.col("v"))).join(texts.select("id", "line"), "id")
+    line, own, ways = F.col("line"), _own(F.col("v")) == 1, F.lit(None)
+    for i, share in enumerate(shares(edits)):
+        ways = F.when(F.col("share") == i, _ways(share, edits)).otherwise(ways)
+
+    def step(s: Column, run: Column) -> Column:
+        part = F.get(F.col("parts"), run["part"])
+        at, whole = part["at"], part["size"] - part["more"]
+        edge = lambda x: F.floor(whole * x / run["cut"]).cast("int")
+        start, shift = F.when(run["opens"], 0).otherwise(s["start"]), F.when(run["opens"], 0).otherwise(s["shift"])
+        first, gain = edge(run["first"]) + shift, F.coalesce(run["gain"], part["more"] - shift)
+        size = edge(run["end"]) - edge(run["first"]) + gain
+        fits = (size >= 0) & (F.abs(gain) <= run["end"] - run["first"])
+        rest = F.when(run["closes"], F.substring(line, at + first + size + 1, part["size"] - first - size)).otherwise("")
+        new = F.struct((at + first).alias("at"), size.alias("size"), gain.alias("more"), F.xxhash64(F.substring(line, at + first + 1, size)).alias("mark"))
+        state = {"key": F.xxhash64(s["key"], F.substring(line, at + start + 1, first - start), rest), "ok": s["ok"] & fits, "own": s["own"] & (gain == 0), "start": first + size, "shift": shift + gain, "parts": F.concat(s["parts"], F.array(new))}
+        return F.struct(*(c.alias(name) for name, c in state.items()))
+
+    def narrow(way: Column) -> Column:
+        none = F.array().cast("array<struct<at:int,size:int,more:int,mark:bigint>>")
+        first = {"key": F.xxhash64("key", way["number"]), "ok": way["both"] | ~own, "own": own, "start": F.lit(0), "shift": F.lit(0), "parts": none}
+        to = lambda s: F.struct(s["key"].alias("key"), s["ok"].alias("ok"), s["own"].alias("own"), way["share"].alias("share"), s["parts"].alias("parts"))
+        return F.aggregate(way["runs"], F.struct(*(c.alias(name) for name, c in first.items())), step, to)
+
+    x = found.select("id", "n", "counts", "near", F.explode(F.filter(F.transform(ways, narrow), lambda x: x["ok"])).alias("x"))
+    return x.select("x.key", (F.col("id") + F.col("x.own").cast("long")).alias("v"), "n", "counts", "x.share", "x.parts", "near")
+
+
+def narrowest(edits: int) -> Column:
+    """Whether no free part has more characters than edits in the line that is sought; the same for all lines of a key."""
+    out = F.lit(None)
+    for i, share in enumerate(shares(edits)):
+        fits = (F.col("parts")[j]["size"] - F.col("parts")[j]["more"] <= k for j, k in enumerate(share))
+        out = F.when(F.col("share") == i, functools.reduce(Column.__and__, fits)).otherwise(out)
+    return out
+
+
+def pairs_of_large(lines: DataFrame, texts: DataFrame, edits: int, least: int, used: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Pairs(a, b) among lines(id) that are left to compare, and ids and places of lines found near an earlier one; used gets the tables they read.
 
-    edits edits touch at most 2 * edits classes of characters, so two near lines have the same characters of
-    some class in the same order; the new keys hold those.
+    Lines are grouped by all that is outside parts of them where the edits may be, and these parts are narrowed until
+    a group has up to GROUP rows, or up to GROUP lines that are not near its earliest one: those are held against all of it.
+    The rest are groups of lines equal but for as many characters as there are edits.
     """
-    kept = [F.struct(F.lit(c).alias("c"), F.regexp_replace("line", p, "").alias("kept")) for c, p in enumerate(classes(edits, turn))]
-    of = texts.select("id", "n", "counts", F.transform(F.array(*kept), lambda x: F.xxhash64(x["c"], x["kept"])).alias("kept"))
-    found = rows.select("key", "v", _id(F.col("v")).alias("id")).join(of, "id")
-    return found.select("key", "v", "n", "counts", F.explode("kept").alias("kept")).select(F.xxhash64("key", "kept").alias("key"), "v", "n", "counts")
+    pairs, near = [], []
+    rows = narrowed(whole_lines(texts.join(lines, "id", "left_semi"), edits, least), texts, edits)
+    while True:
+        shared = cut(shared_keys(rows), "line-keys")
+        used.append(shared)
+        pairs.append(pairs_of(shared.filter(F.col("size") <= GROUP), edits))
+        large = shared.filter(F.col("size") > GROUP).drop("size")
+        if large.isEmpty():
+            return pairs, near
+        placed = large.withColumn("id", _id(F.col("v"))).join(texts.select("id", "at", "line"), "id").repartition("key")
+        earliest = placed.groupBy("key").agg(F.min(F.struct("at", "n", "counts", "line")).alias("e"))
+        like = (F.abs(F.col("n") - F.col("e.n")) <= edits) & counts_near(F.col("counts"), F.col("e.counts"), edits)
+        short = F.struct(*(chars(x).alias(c) for x, c in zip(trimmed(F.col("line"), F.col("e.line")), "xy", strict=True)))
+        like = F.when((F.col("at") > F.col("e.at")) & like, F.transform(F.array(short), lambda z: within_edits(z["x"], z["y"], edits))[0])
+        placed = placed.join(earliest.hint("shuffle_hash"), "key").withColumn("near", F.col("near") | F.coalesce(like, F.lit(False)))
+        is_open = F.count_if(~F.col("near")).over(Window.partitionBy("key"))
+        placed = cut(placed.select(*large.columns, "at", is_open.alias("open")), "line-large")
+        used.append(placed)
+        near.append(placed.filter("near").select(_id(F.col("v")).alias("id"), "at").distinct())
+        wide = (F.col("open") > GROUP) & ~narrowest(edits)
+        last = placed.filter(~wide)
+        pairs.append(pairs_of(last.filter("NOT near"), edits, last))
+        rows = narrowed(placed.filter(wide), texts, edits)
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -129,12 +233,15 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 def pairs_of(rows: DataFrame, edits: int, others: DataFrame | None = None) -> DataFrame:
     """a, b (a < b) of each two lines of a group of which one's own segment is the key; with others, one of rows and one of others.
 
-    Where rows have n and counts, pairs that these show to be far apart are left out.
+    Where rows have n and counts, pairs that these show to be far apart are left out; where they have free parts, pairs that
+    are equal in one, as fewer parts hold all their edits.
     """
-    more = [c for c in ("n", "counts") if c in rows.columns]
+    more = [c for c in ("n", "counts", "parts") if c in rows.columns]
     side = lambda r, p: r.select("key", _id(F.col("v")).alias(p), _own(F.col("v")).alias(f"{p}_own"), *(F.col(c).alias(f"{p}_{c}") for c in more))
     found = F.col("x_own") == 1 if others is None else (F.col("x_own") == 1) | (F.col("y_own") == 1)
     near = (F.abs(F.col("x_n") - F.col("y_n")) <= edits) & counts_near(F.col("x_counts"), F.col("y_counts"), edits) if more else F.lit(True)
+    if "parts" in more:
+        near = near & F.forall(F.zip_with("x_parts", "y_parts", lambda a, b: a["mark"] != b["mark"]), lambda unlike: unlike)
     pairs = side(rows, "x").join(side(rows if others is None else others, "y"), "key").filter(found & (F.col("x") != F.col("y")) & near)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -243,9 +350,8 @@ def near_lines(marked: DataFrame, firsts: DataFrame, buckets: int, edits: int =
 
     marked: documents with flags of their first occurrences; firsts: those with the ids of their lines.
 
-    Lines that share a key are pairs in groups of up to GROUP.  Larger groups are divided twice by what
-    classes of characters leave of their lines.  In those that are large still, each line is held
-    against the earliest one, and only lines not near it against the rest.
+    Lines that share a key are pairs in groups of up to GROUP.  Those of larger groups are grouped anew by
+    all of the line but narrow parts (pairs_of_large).
     """
     lines = flagged_lines(marked).withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
     shared = cut(shared_keys(segment_keys(lines, edits, least)), "line-keys")
@@ -255,18 +361,11 @@ def near_lines(marked: DataFrame, firsts: DataFrame, buckets: int, edits: int =
     text = flagged_lines(with_flags(marked.select("d", "mark", "text"), firsts.join(ids, "id", "left_semi"), "inner", buckets))
     text = text.select(line_id(F.col("line")).alias("id"), place(F.col("d"), F.col("mark"), F.col("pos")).alias("at"), "line").distinct()
     text = cut(text.withColumn("n", F.char_length("line")).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
-    found, used = _compared(pairs, text, edits), [shared, pairs, text]
+    used, near = [shared, pairs, text], []
     if not large.isEmpty():
-        for turn in (1, 2):
-            shared = cut(shared_keys(divided(large, text, edits, turn)), "line-keys")
-            used.append(shared)
-            found, large = found.union(_compared(pairs_of(shared.filter(small), edits), text, edits)), shared.filter(~small).drop("size")
-        placed = large.withColumn("id", _id(F.col("v"))).join(text.select("id", "at"), "id")
-        earliest = placed.groupBy("key").agg(F.min("at").alias("at")).join(placed, ["key", "at"]).select(large.columns)
-        tried = cut(_compared(pairs_of(large, edits, earliest), text, edits), "line-tried")
-        used.append(tried)
-        left = placed.join(tried.select("id"), "id", "left_anti").select(large.columns)
-        found = found.union(tried).union(_compared(pairs_of(left, edits, large), text, edits))
+        more, near = pairs_of_large(large.select(_id(F.col("v")).alias("id")).distinct(), text, edits, least, used)
+        pairs = functools.reduce(DataFrame.union, more, pairs)
+    found = functools.reduce(DataFrame.union, near, _compared(pairs, text, edits))
     pos, mark, doc = _unplace(F.col("at"))
     out = cut(found.select("at").distinct().select(doc.alias("d"), mark.alias("mark"), pos.alias("pos")), "line-near")
     freed(*used)
@@ -284,8 +383,8 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS)
     are ordered by a hash of the text.  No row is left out; input columns named as added ones are replaced.
 
     Texts are exchanged once, with the flags of their first lines, into a table of hash buckets; keys, the texts of
-    candidate pairs and the result are read from it without another exchange.  Where large groups stay large
-    after two divisions, lines not near their earliest one are compared with all of the group.
+    candidate pairs and the result are read from it without another exchange.  Lines of large groups are exchanged
+    again with narrower keys, round by round, as long as their groups stay large.
     """
     marks = carried(docs, "doc_id", "text").withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"))
     marks = marks.withColumn("d", F.coalesce("doc_id", F.lit(LAST)).cast("long"))

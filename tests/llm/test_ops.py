@@ -108,6 +108,42 @@ def test_near_lines_of_large_groups(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_of_one_family(spark, monkeypatch, edits):
+    """Lines made from one by a few edits anywhere, also at their ends and side by side: some near the earliest, most not."""
+    monkeypatch.setattr(line_dedup, "GROUP", 2)
+    rng = random.Random(edits)
+    base = "".join(rng.choice("abcé ") for _ in range(30))
+
+    def edited(x):
+        x = list(x)
+        for i in rng.sample(range(len(x)), rng.randint(1, 2 * edits)):
+            x[i] = rng.choice(["", "a", "bz", "q"])
+        return "".join(x)
+
+    lines = list(dict.fromkeys(edited(base) for _ in range(70)))
+    got = line_dedup.dedup_lines(docs(spark, *lines).select("doc_id", "text"), edits, 12).toPandas().sort_values("doc_id")
+    assert got["line_text"].tolist() == lines_by_hand(lines, edits, 12)
+
+
+def test_pairs_of_one_family_are_few(spark, monkeypatch):
+    """Lines with one word of their own somewhere, hardly one near another: few of the 79,800 pairs are compared."""
+    monkeypatch.setattr(line_dedup, "GROUP", 8)
+    rng, made, compared = random.Random(8), [], line_dedup._compared
+    word = lambda n: "".join(rng.choice("etaoinshr") for _ in range(n))
+    words = [word(4) for _ in range(60)]
+    lines = [" ".join([*words[:at], word(6), *words[at + 1 :]]) for at in (rng.randrange(60) for _ in range(400))]
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return compared(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_compared", counted)
+    got = line_dedup.dedup_lines(docs(spark, *lines).select("doc_id", "text")).toPandas()
+    assert got["n_near"].sum() == sum(any(within(x, y, 2) for y in lines[:i]) for i, x in enumerate(lines))
+    assert sum(made) < 10 * len(lines)
+
+
 def test_line_dedup_edges(spark):
     d = spark.createDataFrame([(None, "only here\nshared line", 1, "m"), (1, None, 2, "m"), (2, "shared line", 3, "m"), (2, "shared line", 3, "m"), (2, "other text", 4, "m"), (3, "x" * 200_000, 5, "m")], "doc_id long, text string, flags int, mark_ string")
     got = line_dedup.dedup_lines(d).toPandas()
