@@ -1,5 +1,7 @@
 """Clusters, encoding, question graphs, prompts, the store, generation and evaluation on small rows."""
 
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -65,6 +67,19 @@ def test_encode(spark):
     assert got[3] == ["E(1|2|0|0|dog_1|0|0|0.9)", "E(1|2|0|0|cat_5|0|0|0.9)", "R(RelatedTo|0|1|0.61|0|0)"]
 
 
+def test_encoding_sends_no_token_through_an_exchange_by_text(spark):
+    c = concept_rows(spark, "dog", "park")
+    e = spark.createDataFrame([(1, 2, 6, 0.61)], EDGE)
+    token = "struct<i: int, text: string, lemma: string, pos: string, dep: string, head: int, chunk: int, root: boolean, tense: string>"
+    rows = [(i, "dog in park", [(0, "dog", "dog", "NOUN", "ROOT", 0, 0, True, None), (1, "in", "in", "ADP", "prep", 0, None, False, None), (2, "park", "park", "NOUN", "pobj", 1, 1, True, None)]) for i in range(50)]
+    parse = spark.createDataFrame(rows, f"text_id long, text string, tokens array<{token}>").repartition(3, "text_id")
+    out = encoder.encode_folded(parse, c, e, search.postings(c, "surface_text"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # dealt once by the caller; joins with known words and edges are broadcasts
+    assert set(re.findall(r"Exchange (\w+)\((?:text_id[^)]*|word[^)]*)\), (\w+)", plan)) == {("hashpartitioning", "REPARTITION_BY_NUM")}
+    assert {r["block"] for r in out.collect()} == {"<sml>\nE(1|2|0|0|dog_1|0|0|0.9)\nE(1|2|0|0|park_2|0|0|0.9)\nR(AtLocation|0|1|0.61|0|0)\n</sml>"}
+
+
 def test_resolve_in_turn(spark):
     c = concept_rows(spark, "dog", "hot dog", "doghouse")
     words = spark.createDataFrame([("Dog", "dog", [1.0, 0.0]), ("dogs", "dog", [1.0, 0.0]), ("dogh", "dogh", [1.0, 0.0]), ("hot", "hot", [1.0, 0.0]), ("the", "the", [1.0, 0.0]), ("zzz", "zzz", [1.0, 0.0])], "word string, lemma string, vector array<double>")
