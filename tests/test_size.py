@@ -1,0 +1,69 @@
+"""What a task holds must not grow with the tables: plans and parts, by the size of the input."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lattica import shared
+from lattica.operators import kg, records
+from lattica.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+EDGE = "source_id long, target_id long, relation_type_id int, weight double"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_follow_the_files(spark, tmp_path, monkeypatch):
+    spark.range(20000).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    size = shared.input_bytes(t)
+    assert size > 0 and shared.input_bytes(spark.createDataFrame([(1,)], "id long").join(t, "id")) == size
+    assert shared.parts(t) == 4
+    monkeypatch.setattr(shared, "PART", size // 50)
+    assert 50 <= shared.parts(t) <= 52 and shared.spread(t, "id").rdd.getNumPartitions() == shared.parts(t)
+
+
+def dealt(name, spark, monkeypatch, keys):
+    """How many parts the keys are dealt into when a part stands for 2 KB of input, and by default."""
+    monkeypatch.setattr(shared, "PART", 1 << 40)
+    few = re.findall(rf"hashpartitioning\({keys}, (\d+)\), REPARTITION_BY_NUM", plan(QUERIES[name](spark, SF)))
+    monkeypatch.setattr(shared, "PART", 2048)
+    many = re.findall(rf"hashpartitioning\({keys}, (\d+)\), REPARTITION_BY_NUM", plan(QUERIES[name](spark, SF)))
+    assert few and set(few) == {"4"} and min(map(int, many)) > 20
+
+
+SUPPLIED, WANTED = r"l_suppkey#\d+L, l_partkey#\d+L", r"o_custkey#\d+L, l_partkey#\d+L"
+
+
+@pytest.mark.parametrize("name", ["a3_best_edge_of_source", "w1_top_targets_by_type", "w8_one_edge_of_each_type"])
+def test_edges_are_grouped_in_parts_by_size(spark, monkeypatch, name):
+    for keys in (SUPPLIED, WANTED):
+        dealt(name, spark, monkeypatch, keys)
+
+
+def test_pairs_are_appended_in_parts_by_size(spark, monkeypatch):
+    dealt("t6_append_new_pairs", spark, monkeypatch, r"source_id#\d+L, target_id#\d+L")
+
+
+@pytest.mark.parametrize(("name", "keys"), [("m1_relation_prompts", r"kind#\d+, source#\d+, target#\d+"), ("w5_first_of_duplicates", r"_key#\d+"), ("a17_unique_prompts", r"kind#\d+, prompt#\d+")])
+def test_prompts_are_told_apart_in_parts_by_size(spark, monkeypatch, name, keys):
+    dealt(name, spark, monkeypatch, keys)
+
+
+def test_prompts_are_never_dealt_by_kind_alone(spark):
+    pairs = spark.createDataFrame([("a", "x", "y"), ("a", "x", "y"), ("b", "x", "{target}"), ("c", "x", "y")], "kind string, source string, target string")
+    t = spark.createDataFrame([("a", "{source} {target}"), ("a", "{source} y"), ("b", "is {source} {target}?")], "kind string, template string")
+    out = records.fill_templates(pairs, t)
+    assert sorted(out.collect()) == [("a", "x", "y", "x y"), ("b", "x", "{target}", "is x {target}?")]
+    assert not re.search(r"SortMergeJoin \[kind", plan(out))
+
+
+def test_type_combinations_need_no_join(spark):
+    e = spark.createDataFrame([(1, 2, 1, 0.9), (1, 3, 2, 0.8), (1, 2, 4, 0.7), (1, 9, 4, 0.1)], EDGE)
+    out = kg.type_combinations(e)
+    assert "Join" not in plan(out)
+    assert {(tuple(r["targets"]), tuple(r["types"])) for r in out.collect()} == {((2,), (1,)), ((3,), (2,)), ((2, 3), (1, 2))}
