@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.codec import block_of, parse_entities, parse_relations
 from lattica.operators.kg import hashed
-from lattica.shared import numbered
+from lattica.shared import numbered, spread
 
 
 def v1_errors(records: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -88,16 +88,20 @@ def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
 def fill_templates(pairs: DataFrame, templates: DataFrame) -> DataFrame:
     """Every pair in every template of its kind: pairs(kind, source, target), templates(kind, template); {source} and {target} are filled.
 
-    Templates are few, so Spark broadcasts them.
+    Equal pairs are joined before they are filled, and a kind's few templates are one broadcast row, whose equal prompts for a pair fall
+    together in the row: no prompt crosses an exchange.
     """
-    j = pairs.join(templates, "kind")
-    return j.select("kind", "source", "target", F.replace(F.replace("template", F.lit("{source}"), F.col("source")), F.lit("{target}"), F.col("target")).alias("prompt")).distinct()
+    bank = templates.groupBy("kind").agg(F.collect_set("template").alias("_t"))
+    filled = F.transform("_t", lambda t: F.replace(F.replace(t, F.lit("{source}"), F.col("source")), F.lit("{target}"), F.col("target")))
+    asked = pairs.select("kind", "source", "target").join(F.broadcast(bank.select("kind")), "kind", "left_semi")
+    j = spread(asked, "kind", "source", "target").distinct().join(F.broadcast(bank), "kind")
+    return j.select("kind", "source", "target", F.explode(F.array_distinct(filled)).alias("prompt"))
 
 
 def first_of_duplicates(prompts: DataFrame, text: str, order: str) -> DataFrame:
     """The first of prompts that are equal but for case."""
-    w = Window.partitionBy(F.lower(text)).orderBy(order)
-    return prompts.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*prompts.columns), order)
+    return spread(prompts.withColumn("_key", F.lower(text)), "_key").groupBy("_key").agg(first.alias("_p")).select("_p.*")
 
 
 def shuffle_choices(choices: Column, answer: Column, key: Column, seed: int) -> Column:
