@@ -128,5 +128,7 @@ def token_report(pairs: DataFrame) -> DataFrame:
     """
     block = block_of(F.col("a.question"))
     words = F.get(F.split(F.col("b.question"), "\n\n"), F.lit(0))
-    p = pairs.select(text.estimated_tokens(block).alias("x"), text.estimated_tokens(words).alias("y"), F.length(block).alias("cx"), F.length(words).alias("cy")).filter("cx > 0")
+    p = pairs.select(F.inline(F.array(F.struct(block.alias("block"), words.alias("words"))))).filter("block <> ''")
+    block, words = F.col("block"), F.col("words")
+    p = p.select(text.estimated_tokens(block).alias("x"), text.estimated_tokens(words).alias("y"), F.length(block).alias("cx"), F.length(words).alias("cy"))
     return p.agg(F.count("*").alias("n"), F.sum("x").alias("block_tokens"), F.sum("y").alias("word_tokens"), F.sum("cx").alias("block_chars"), F.sum("cy").alias("word_chars"), F.avg(text.ratio(F.col("x"), F.col("y"))).alias("mean_ratio"), text.ratio(F.sum("x"), F.sum("y")).alias("ratio_of_sums"))
