@@ -17,12 +17,16 @@ def v1_errors(records: DataFrame, concepts: DataFrame) -> DataFrame:
     """
     last = F.get("messages", F.size("messages") - 1)
     text = F.coalesce(last["content"], F.lit(""))
-    r = records.withColumn("text", text).withColumn("block", block_of(F.col("text")))
+    # generated rows keep each step from being worked out again for every use of it
+    r = records.select("line", "messages", F.explode(F.array(text)).alias("text"))
+    r = r.select("line", "messages", "text", F.explode(F.array(block_of(F.col("text")))).alias("block"))
     early = F.when(F.col("messages").isNull(), "missing messages").when(F.size("messages") < 3, "need at least 3 messages").when(last["role"] != "assistant", "last message must be assistant").when(F.col("block") == "", "missing block")
-    r = r.withColumn("early", early).withColumn("e", parse_entities(F.col("block"))).withColumn("r", parse_relations(F.col("block")))
-    anchors = r.filter("early IS NULL").select("line", F.explode(F.filter("e", lambda x: F.size(x) == 8)).alias("x")).select("line", F.get("x", F.lit(4)).alias("anchor_token")).filter(~F.col("anchor_token").startswith("unknown_") & F.col("anchor_token").try_cast("double").isNull())
-    unknown = anchors.distinct().join(concepts.select("anchor_token").distinct(), "anchor_token", "left_anti")
-    unknown = unknown.groupBy("line").agg(F.transform(F.array_sort(F.collect_list("anchor_token")), lambda a: F.concat(F.lit("anchor '"), a, F.lit("' not in graph"))).alias("unknown"))
+    r = r.select("line", "text", "block", F.inline(F.array(F.struct(early.alias("early"), parse_entities(F.col("block")).alias("e")))))
+    known = F.filter(F.transform(F.filter("e", lambda x: F.size(x) == 8), lambda x: F.get(x, F.lit(4))), lambda a: ~a.startswith("unknown_") & a.try_cast("double").isNull())
+    anchors = r.filter("early IS NULL").select("line", F.explode(F.array_distinct(known)).alias("anchor_token"))
+    unknown = anchors.join(concepts.select("anchor_token").distinct(), "anchor_token", "left_anti")
+    unknown = unknown.groupBy("line").agg(F.transform(F.array_distinct(F.array_sort(F.collect_list("anchor_token"))), lambda a: F.concat(F.lit("anchor '"), a, F.lit("' not in graph"))).alias("unknown"))
+    r = r.select("line", "text", "early", "e", F.explode(F.array(parse_relations(F.col("block")))).alias("r"))
     conf = lambda x: F.get(x, F.lit(7)).try_cast("double")
     ref = lambda x, i: F.get(x["slots"], F.lit(i)).try_cast("int")
     bad = lambda i: F.exists("r", lambda x: (F.size(x["slots"]) == 6) & ((ref(x, i) < 0) | (ref(x, i) >= F.size("e"))))
