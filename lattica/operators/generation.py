@@ -68,8 +68,8 @@ def first_records(prompts: DataFrame, completions: DataFrame, system: str, order
     Blocks are admitted by quality within the budget; completions(prompt, completion) are split into thinking and answer; answers that
     give up, or are empty when cleaned, are left out.  The block, thinking and answer are the last turn.
     """
-    p = prompts.withColumn("quality", text.block_quality(F.col("block")))
-    a = admitted(p, "quality", order, p.count()).join(completions, "prompt")
+    p = prompts.select("*", F.explode(F.array(text.block_quality(F.col("block")))).alias("quality"))
+    a = admitted(p, "quality", order, prompts.count()).join(completions, "prompt")
     # generated rows keep each step from being worked out again for every use of it
     a = a.select("prompt", "quality", "block", F.inline(F.array(text.parse_teacher(F.col("completion"))))).filter(~text.is_punt(F.col("answer")))
     a = a.select("prompt", "quality", "block", "thinking", F.explode(F.array(text.clean_response(F.col("answer")))).alias("answer")).filter("answer <> ''")
