@@ -166,7 +166,16 @@ def strong_fanout(edges: DataFrame, above: float = 0.5) -> DataFrame:
 
 
 def threshold_members(edges: DataFrame, starts: DataFrame, entities: DataFrame, least: float) -> DataFrame:
-    """graph_id, start, node, member: every other entity, and whether relations of that weight lead to it; so wrong choices are checked."""
-    got = G.reachable(edges, starts, None, least).withColumn("member", F.lit(True))
-    others = starts.select("graph_id", "start").distinct().join(entities.select("graph_id", F.col("idx").alias("node")), "graph_id").filter("start <> node")
-    return others.join(got, ["graph_id", "start", "node"], "left").withColumn("member", F.coalesce("member", F.lit(False)))
+    """graph_id, start, node, member: every other entity, and whether relations of that weight lead to it; so wrong choices are checked.
+
+    A start's row meets the nodes of its graph and those it reaches as arrays, and is spread out last.
+    """
+    got = G.reachable(edges, starts, None, least).groupBy("graph_id", "start").agg(F.collect_list("node").alias("_got"))
+    nodes = entities.groupBy("graph_id").agg(F.collect_list("idx").alias("_all"))
+    x = starts.select("graph_id", "start").distinct().join(nodes, "graph_id").join(got, ["graph_id", "start"], "left")
+    x = x.select("graph_id", "start", F.filter("_all", lambda n: n != F.col("start")).alias("_all"), F.coalesce("_got", F.array().cast("array<bigint>")).alias("_got"))
+    row = lambda n, member: F.struct(n.alias("node"), member.alias("member"))
+    # set functions take one pass where no node is listed twice
+    sets = F.concat(F.transform(F.array_intersect("_all", "_got"), lambda n: row(n, F.lit(True))), F.transform(F.array_except("_all", "_got"), lambda n: row(n, F.lit(False))))
+    each = F.transform("_all", lambda n: row(n, F.array_contains("_got", n)))
+    return x.select("graph_id", "start", F.inline(F.when(F.size("_all") == F.size(F.array_distinct("_all")), sets).otherwise(each)))
\ No newline at end of file
